@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -106,12 +107,14 @@ def from_chunks(chunks: DataFrame, mint: int | None = None, maxt: int | None = N
     if maxt is not None:
         chunks = chunks.where(F.col("min_t") <= maxt)
 
-    def unpack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            parts = [decode(p) for p in f["payload"]]
-            yield pd.DataFrame({"series_id": np.repeat(f["series_id"].to_numpy(), [len(t) for t, _ in parts]), "ts_ms": np.concatenate([t for t, _ in parts] or [np.empty(0, np.int64)]), "value": np.concatenate([v for _, v in parts] or [np.empty(0)])})
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = [decode(p) for p in batch.column(1).to_pylist()]
+            if parts:
+                ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(t) for t, _ in parts])
+                yield pa.record_batch([pa.array(ids, pa.int64()), pa.array(np.concatenate([t for t, _ in parts]), pa.int64()), pa.array(np.concatenate([v for _, v in parts]), pa.float64())], ["series_id", "ts_ms", "value"])
 
-    out = chunks.select("series_id", "payload").mapInPandas(unpack, "series_id long, ts_ms long, value double")
+    out = chunks.select("series_id", "payload").mapInArrow(unpack, "series_id long, ts_ms long, value double")
     if mint is not None:
         out = out.where(F.col("ts_ms") >= mint)
     return out if maxt is None else out.where(F.col("ts_ms") <= maxt)

@@ -566,7 +566,7 @@ def kv_reverse_scan(spark: SparkSession, folder: str) -> DataFrame:
     return _text(kv.scan(_entries(spark, folder), reverse=True).limit(100))
 
 
-@query(f"WITH {_KV}, q AS (SELECT max(seq) // 2 AS at FROM tags), {_last('WHERE seq <= (SELECT at FROM q)')} SELECT key, value FROM x WHERE type = 1")
+@query(f"WITH {_KV}, q AS (SELECT max(seq) // 2 AS pos FROM tags), {_last('WHERE seq <= (SELECT pos FROM q)')} SELECT key, value FROM x WHERE type = 1")
 def kv_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """What a reader sees that began halfway."""
     at = table(spark, folder, "tags").agg(F.max("seq")).first()[0] or 0
