@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import join_checked
-from tidemark.session import ship
+from tidemark.session import ship, written
 
 # What is only shown or quoted: fenced and indented code, code in backticks, quoted lines, words in quotation marks.
 _SHOWN = (
@@ -125,7 +125,7 @@ def kind_of(message: str, recurs: bool) -> str | None:
 def _classify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
         kinds = [kind_of(m, r) for m, r in zip(f["msg"], f["recurs"], strict=True)]
-        f = f[["h"]].assign(kind=kinds)
+        f = f[["h", "msg"]].assign(kind=kinds)
         yield f[f["kind"].notna()]
 
 
@@ -144,13 +144,13 @@ def residue(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str
     # Lines that are short go with the line before them too: a message may stand one word to a line.
     parts = F.concat(F.split("_p", _ENDS), F.split(F.regexp_replace("_p", r"\s*\n\s*(?=[^\n]{0,24}(?:\n|\z))", " "), _ENDS))
     words = p.select("_d", "_s", F.explode(F.array_distinct(F.transform(parts, masked))).alias("_m")).where(F.length("_m") >= 3)
-    words = words.withColumn("_h", F.xxhash64("_m"))
+    words = written(words.withColumn("_h", F.xxhash64("_m")), "messages")  # texts are taken apart once
     # How far each message spreads: first within a source, then over sources, so that a message in a third of all documents is summed before it moves.
     spread = words.groupBy("_m", "_h", "_s").agg(F.count("*").alias("_n")).groupBy("_m", "_h").agg(F.sum("_n").alias("_n"), F.count("*").alias("_k"))
     asked = spread.select(F.col("_m").alias("msg"), F.col("_h").alias("h"), ((F.col("_n") >= RECUR_DOCS) & (F.col("_k") >= RECUR_SOURCES)).alias("recurs"))
-    bad = asked.mapInPandas(_classify, "h long, kind string").dropDuplicates(["h"])
-    hits = join_checked(words, bad.withColumnRenamed("h", "_h"), ["_h"])
-    return hits.groupBy(F.col("_d").alias(doc), "kind").agg(F.min("_m").alias("message"))
+    bad = asked.mapInPandas(_classify, "h long, msg string, kind string").dropDuplicates(["h"])
+    hits = join_checked(words.select("_d", "_h"), written(bad.withColumnRenamed("h", "_h"), "residue"), ["_h"])
+    return hits.groupBy(F.col("_d").alias(doc), "kind").agg(F.min("msg").alias("message"))
 
 
 def without_residue(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
