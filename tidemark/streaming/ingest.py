@@ -23,7 +23,7 @@ def inserts(spark: SparkSession, path: str, schema: str = INSERTS, files_per_tri
 def ingest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Writes each batch of samples by day. A batch that is run again after a failure writes its own folder anew, so every row counts once.
 
-    Ends when the source is drained (availableNow); readers take `{path}/batch=*`.
+    Ends when the source is drained (availableNow); `ingested` reads what is there.
     """
 
     def write(batch: DataFrame, number: int) -> None:
@@ -32,6 +32,11 @@ def ingest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingested(spark: SparkSession, path: str) -> DataFrame:
+    """The samples that `ingest` wrote, of all batches."""
+    return spark.read.parquet(path).drop("batch", "day")
+
+
 def register(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """A stream of (labels, ts_ms, value) through an `Appender`: series get ids once, whatever batch they come in, and samples are committed batch by batch.
 
@@ -54,12 +59,15 @@ def register(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
 
 
 def deduplicated(stream: DataFrame, late: str = "2 days") -> DataFrame:
-    """The stream without rows that arrive again unchanged within the watermark."""
-    return stream.withColumn("ts", F.timestamp_millis("ts_ms")).withWatermark("ts", late).dropDuplicatesWithinWatermark(["series_id", "ts_ms", "value", "seq"]).drop("ts")
+    """The stream without rows that arrive again unchanged within the watermark. A row without a time is dropped.
+
+    A watermark starts at 1970, and what is older would count as late from the start; so it runs on times moved ahead by four thousand years.
+    """
+    return stream.where("ts_ms is not null").withColumn("ts", F.timestamp_millis(F.col("ts_ms") + 1_461_000 * 86_400_000)).withWatermark("ts", late).dropDuplicatesWithinWatermark(["series_id", "ts_ms", "value", "seq"]).drop("ts")
 
 
 def tumbling(stream: DataFrame, width: str = "5 minutes", late: str = "2 days") -> DataFrame:
-    """(series_id, bucket_ms, n, max_value) of tumbling windows; rows later than the watermark are dropped, NaN is greater than any number."""
+    """(series_id, bucket_ms, n, max_value) of tumbling windows; rows later than the watermark are dropped (in append mode, times before 1970 are late from the start), NaN is greater than any number."""
     rows = stream.where("ts_ms is not null and value is not null and series_id is not null").withColumn("ts", F.timestamp_millis("ts_ms"))
     out = rows.withWatermark("ts", late).groupBy("series_id", F.window("ts", width)).agg(F.count("*").alias("n"), F.max("value").alias("max_value"))
     return out.select("series_id", F.unix_millis("window.start").alias("bucket_ms"), "n", "max_value")
