@@ -23,6 +23,15 @@ def cell(value: Column, row: int, cells: int = CELLS) -> Column:
     return F.pmod(F.xxhash64(value, F.lit(row)), F.lit(cells)).cast("int")
 
 
+def _key(name: Column) -> Column:
+    """A name as a key that is never null: "1" and the name, or "0" for none."""
+    return F.when(name.isNull(), F.lit("0")).otherwise(F.concat(F.lit("1"), name.cast("string")))
+
+
+def _name(key: str) -> Column:
+    return F.when(F.substring(key, 1, 1) == "1", F.expr(f"substring({key}, 2)"))
+
+
 class _Sketch:
     def __init__(self, rows: int, cells: int) -> None:
         self.total = np.zeros((rows, cells), np.int64)
@@ -87,8 +96,9 @@ def sketch(df: DataFrame, name: str = "name", value: str = "value", rows: int =
     """
     ship(df.sparkSession)
     v = F.col(value).cast("string")
-    clean = df.where(v.isNotNull() & (v != "")).select(F.col(name).cast("string").alias("n"), v.alias("v"), *(cell(v, r, cells).alias(f"c{r}") for r in range(rows)))
-    return clean.mapInArrow(_partials(rows, cells), "name string, row int, cell int, total long, candidate string, votes long")
+    clean = df.where(v.isNotNull() & (v != "")).select(_key(F.col(name)).alias("n"), v.alias("v"), *(cell(v, r, cells).alias(f"c{r}") for r in range(rows)))
+    parts = clean.mapInArrow(_partials(rows, cells), "name string, row int, cell int, total long, candidate string, votes long")
+    return parts.withColumn("name", _name("name"))
 
 
 def merge(parts: DataFrame) -> DataFrame:
@@ -128,15 +138,15 @@ def heavy_hitters(df: DataFrame, share: float = 0.01, name: str = "name", value:
     kept = written(merge(sketch(df, name, value, rows, cells)), "cells")
     cand = bounds(kept, share, rows, cells)
     totals = kept.where("row = 0").groupBy("name").agg(F.sum("total").alias("rows_of_name"))
-    doubtful = kept.join(totals.withColumnRenamed("name", "_n"), F.col("name").eqNullSafe(F.col("_n"))).where((F.col("total") - F.col("votes")) / 2 / F.col("rows_of_name") >= share).select(F.coalesce("name", F.lit("\0")).alias("_k"), "row", F.col("cell").alias("_c"))
+    doubtful = kept.join(totals.withColumnRenamed("name", "_n"), F.col("name").eqNullSafe(F.col("_n"))).where((F.col("total") - F.col("votes")) / 2 / F.col("rows_of_name") >= share).select(_key(F.col("name")).alias("_k"), "row", F.col("cell").alias("_c"))
     v = F.col(value).cast("string")
-    data = df.where(v.isNotNull() & (v != "")).select(F.coalesce(F.col(name).cast("string"), F.lit("\0")).alias("_k"), v.alias("_v"))
-    few = join_checked(data, cand.select(F.coalesce("name", F.lit("\0")).alias("_k"), F.col("value").alias("_v")), ["_k", "_v"], "left_semi")
+    data = df.where(v.isNotNull() & (v != "")).select(_key(F.col(name)).alias("_k"), v.alias("_v"))
+    few = join_checked(data, cand.select(_key(F.col("name")).alias("_k"), F.col("value").alias("_v")), ["_k", "_v"], "left_semi")
     counted = few.groupBy("_k", "_v").agg(F.count("*").alias("rows"))
     if doubtful.groupBy("_k").agg(F.countDistinct("row").alias("_r")).where(F.col("_r") == rows).limit(1).count():
         more = data
         for r in range(rows):
             more = join_checked(more.withColumn("_c", cell(F.col("_v"), r, cells)), doubtful.where(F.col("row") == r).select("_k", "_c"), ["_k", "_c"], "left_semi")
         counted = counted.unionByName(more.groupBy("_k", "_v").agg(F.count("*").alias("rows"))).distinct()
-    n = totals.select(F.coalesce("name", F.lit("\0")).alias("_k"), "rows_of_name")
-    return counted.join(n, "_k").where(F.col("rows") / F.col("rows_of_name") >= share).select(F.when(F.col("_k") != "\0", F.col("_k")).alias("name"), F.col("_v").alias("value"), "rows", "rows_of_name")
+    n = totals.select(_key(F.col("name")).alias("_k"), "rows_of_name")
+    return counted.join(n, "_k").where(F.col("rows") / F.col("rows_of_name") >= share).select(_name("_k").alias("name"), F.col("_v").alias("value"), "rows", "rows_of_name")
