@@ -22,7 +22,7 @@ _SHOWN = (
 )
 #: Where a message ends: with its line or sentence.
 _ENDS = r"\n|(?<=[.!?])\s+"
-_SPACE = r"[\s\u00a0\u2000-\u200b\u202f\u3000]+"
+_SPACE = r"[\t\r\f\x0b \u00a0\u2000-\u200b\u202f\u3000]+"
 # What differs between copies of the same message.
 _MASKS = (
     (r"(?:https?|ftp)://\S+|www\.\S+|\b[\w.+-]+@[\w-]+\.[\w.]+\b|\b\d{1,3}(?:\.\d{1,3}){3}\b", "<addr>"),
@@ -82,11 +82,11 @@ def prose(text: Column) -> Column:
 
 
 def masked(text: Column) -> Column:
-    """Lower case, numbers, dates, addresses and identifiers masked, white space and leading marks evened out."""
+    """Lower case, numbers, dates, addresses and identifiers masked, white space within lines evened out."""
     out = F.lower(text)
     for p, to in _MASKS:
         out = F.regexp_replace(out, p, to)
-    return F.trim(F.regexp_replace(out, _SPACE, " "))
+    return F.regexp_replace(out, _SPACE, " ")
 
 
 def _mash(word: str) -> bool:
@@ -140,10 +140,10 @@ def residue(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str
     Texts are read to the end, whatever their length. Extra columns are ignored.
     """
     ship(df.sparkSession)
-    p = df.select(F.col(doc).alias("_d"), F.col(source).cast("string").alias("_s"), prose(F.col(text)).alias("_p"))
+    p = df.select(F.col(doc).alias("_d"), F.col(source).cast("string").alias("_s"), masked(prose(F.col(text))).alias("_p"))
     # Lines that are short go with the line before them too: a message may stand one word to a line.
     parts = F.concat(F.split("_p", _ENDS), F.split(F.regexp_replace("_p", r"\s*\n\s*(?=[^\n]{0,24}(?:\n|\z))", " "), _ENDS))
-    words = p.select("_d", "_s", F.explode(F.array_distinct(F.transform(parts, masked))).alias("_m")).where(F.length("_m") >= 3)
+    words = p.select("_d", "_s", F.explode(F.array_distinct(F.transform(parts, F.trim))).alias("_m")).where(F.length("_m") >= 3)
     words = written(words.withColumn("_h", F.xxhash64("_m")), "messages")  # texts are taken apart once
     # How far each message spreads: first within a source, then over sources, so that a message in a third of all documents is summed before it moves.
     spread = words.groupBy("_m", "_h", "_s").agg(F.count("*").alias("_n")).groupBy("_m", "_h").agg(F.sum("_n").alias("_n"), F.count("*").alias("_k"))
