@@ -15,7 +15,9 @@ from tidemark.operators.readings import DAY_MS
 from tidemark.session import ship, written
 
 #: Readings that one chunk of a series holds at most if they come at the series' pace; and the days it spans at most.
-CHUNK_READINGS, CHUNK_DAYS = 1 << 19, 64
+CHUNK_READINGS, CHUNK_DAYS = 1 << 17, 64
+#: Readings in the packed chunks that a task holds before it passes them on.
+FLUSH = 1 << 19
 #: Readings that a chunk sees of its neighbours; more than the longest context any test needs.
 HALO = 16
 #: Bins of the mergeable histogram of changes grow by this factor; a median from it is off by at most half of that.
@@ -48,9 +50,10 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (entity, chunk, time, seq, value) to one row for each chunk; of a time, the last row counts."""
     pieces: list[tuple[np.ndarray, ...]] = []
     out: list[tuple] = []
+    held = 0
 
     def close(upto: int | None) -> Iterator[pa.RecordBatch]:
-        nonlocal pieces
+        nonlocal pieces, held
         e, k, t, v, lo, hi = (np.concatenate(x) if len(x) > 1 else x[0] for x in zip(*pieces, strict=True))
         if upto is not None:
             at = len(e) - upto
@@ -68,7 +71,9 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tt, vv = t[a:b], v[a:b]
             usual, moved, still, bins, counts = _change_stats(vv, lo[a], hi[a])
             out.append((int(e[a]), int(k[a]), int(b - a), tt.tobytes(), vv.tobytes(), tt[:HALO].tobytes() + vv[:HALO].tobytes(), tt[-HALO:].tobytes() + vv[-HALO:].tobytes(), usual, moved, still, bins.tolist(), counts.tolist()))
-            if len(out) >= 256 or b - a > 100_000:
+            held += int(b - a)
+            if len(out) >= 1024 or held >= FLUSH:
+                held = 0
                 yield flush()
 
     def flush() -> pa.RecordBatch:
@@ -182,7 +187,8 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ("impossible", "stuck", "spike")
     for batch in batches:
         es, ts, vs, ks = [], [], [], []
-        for r in batch.to_pylist():
+        for i in range(batch.num_rows):  # one chunk at a time: a chunk may be large
+            r = {k: c[i].as_py() for k, c in zip(batch.schema.names, batch.columns, strict=True)}
             t, v = np.frombuffer(r["ts"], np.int64), np.frombuffer(r["v"])
 
             def near(parts: list[bytes] | None, last: bool) -> tuple[np.ndarray, np.ndarray]:
