@@ -73,6 +73,16 @@ _PERHAPS = re.compile(r"\bnot found\b.{0,20}<num>|<num>.{0,20}\bnot found\b|\b(?
 _ABOUT = re.compile(r"\b(?:how|why|does anyone|what is|what does|which|cómo|wie kann|comment)\b[^.?!]*\?")
 
 
+# The first five letters of words, one of which stands in anything that the phrases, or the marks of failed values without a sign of their own, can match.
+_STEMS = frozenset(
+    "dummy place fille sampl examp body here comin tbd ignor repla write type hier blind platz füllt aquí relle ejemp prueb provi rempl exemp faux javas java scrip skrip js cooki brows naveg navig noscr block newer works "
+    "reque intro found encon gefun canno gone remov delet locke moved longe unabl forbi denie restr refus deneg inter verwe verbo again sessi wrong servi maint error erreu fehle serve späte http upstr datab templ fatal unava gatew "
+    "inval nan object undef null none nil permi acces later wait loadi redir avail try".split()
+)
+_SIGNS = re.compile(r"[{\[%$@_«#]|\(\(\(|\((?:null|no value)\)|<(?!num>|addr>|date>|id>)")
+_LEADS = re.compile(r"\W*<num>")
+
+
 def prose(text: Column) -> Column:
     """The text without what it only shows or quotes; null counts as empty."""
     out = F.coalesce(text.cast("string"), F.lit(""))
@@ -95,9 +105,12 @@ def _mash(word: str) -> bool:
 
 def kind_of(message: str, recurs: bool) -> str | None:
     """The kind of residue in one masked message: "template", "filler", "notice" (a site, server or script notice speaks), or None."""
-    if _OPEN.search(message) or _LOOSE.search(message) or _FAILED.search(message) or len(_VOID.findall(message)) >= 2:
-        return "template"
     words = _WORD.findall(message)
+    stems = not _STEMS.isdisjoint(w[:5] for w in words)
+    if _SIGNS.search(message) and (_OPEN.search(message) or _LOOSE.search(message)):
+        return "template"
+    if (stems or "#" in message or "(" in message) and (_FAILED.search(message) or len(_VOID.findall(message)) >= 2):
+        return "template"
     dummy = [w for w in words if w in _DUMMY_WORDS]
     if len(dummy) >= 3 and 2 * len(dummy) >= len(words) and sum(w not in _DUMMY_SHORT for w in dummy) >= 2:
         return "filler"
@@ -114,6 +127,8 @@ def kind_of(message: str, recurs: bool) -> str | None:
         return "filler"
     if len(tokens) == 1 and len(tokens[0]) >= 4 and tokens[0] not in _NONSENSE and _mash(tokens[0]):
         return "filler"
+    if not stems and not _LEADS.match(message):
+        return None
     m = _PHRASES.search(message)
     if m and not _ABOUT.search(message):
         return "filler" if m.start() >= 0 and re.search(r"dummy|placeholder|filler|sample|copy|coming soon|tbd|test post|replaced|write your|type your|goes here|blindtext|platzhalter|fülltext|aquí va|relleno|provisoire|steht|texto", m.group(0)) else "notice"
