@@ -17,8 +17,13 @@ _KEY = ("min_t", "max_t", "ulid")
 
 
 def valid(blocks: DataFrame) -> DataFrame:
-    """Blocks with a range, each listed once: of rows with the same store and id the first in the order of all columns."""
-    return blocks.where("min_t < max_t").dropDuplicates(["store_dir", "ulid", "min_t", "max_t"])
+    """Blocks with a range, each listed once: of rows with the same store, id and range the first in the order of their other columns."""
+    keys = ["store_dir", "ulid", "min_t", "max_t"]
+    rest = [c for c in blocks.columns if c not in keys]
+    rows = blocks.where("min_t < max_t")
+    if not rest:
+        return rows.distinct()
+    return rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_rest")).select(*keys, "_rest.*").select(*blocks.columns)
 
 
 def sorted_blocks(blocks: DataFrame) -> DataFrame:

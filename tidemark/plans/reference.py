@@ -243,7 +243,7 @@ def series_sorted(spark: SparkSession, folder: str) -> DataFrame:
     """The place of each series in the order of label sets."""
     rows = Store.of(spark, folder).series.withColumn("label_arr", canonical(F.col("labels")))
     # Ranks over range partitions: local row numbers plus the rows of the partitions before; no task holds all series.
-    parts = written(rows.select("label_arr", "series_id").repartitionByRange(8, "label_arr", "series_id").withColumn("_p", F.spark_partition_id()), "ranked")
+    parts = written(rows.select("label_arr", "series_id").repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "label_arr", "series_id").withColumn("_p", F.spark_partition_id()), "ranked")
     sums = parts.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_off", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # one row a partition
     local = parts.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy("label_arr", "series_id")))
     return local.join(F.broadcast(sums.select("_p", "_off")), "_p").select("series_id", (F.col("_off") + F.col("_r")).alias("place"))
