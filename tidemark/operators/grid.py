@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import join_checked
 from tidemark.operators.readings import floor_to
 
 #: Slots of a block: what one task orders at a time, whatever the length of a source.
@@ -29,12 +30,13 @@ def regular_grid(df: DataFrame, steps: DataFrame, *, entity: str = "series_id",
     """
     st = steps.select(F.col(entity).alias("_e"), F.col(step).cast("long").alias("_w")).where("_w > 0").groupBy("_e").agg(F.min("_w").alias("_w"))
     rows = df.select(F.col(entity).alias("_e"), F.col(time_ms).alias("_t"), F.col(value).cast("double").alias("_v"), F.coalesce(F.col(seq).cast("long"), F.lit(-(2**63))).alias("_q")).where("_e is not null and _t is not null and _v is not null")
-    rows = rows.join(st, "_e").withColumn("_slot", floor_to(F.col("_t"), F.col("_w")))
-    rows = rows.withColumn("_blk", F.floor(F.col("_slot") / F.col("_w") / BLOCK_SLOTS).cast("long"))
+    rows = join_checked(rows, st, ["_e"]).withColumn("_slot", floor_to(F.col("_t"), F.col("_w")))
+    rows = rows.select("_e", "_w", "_slot", (F.col("_t") - F.col("_slot")).alias("_t"), "_v", "_q")
     # The slot's latest reading: time, then seq, then value. Partial aggregates on primitive buffers only.
-    tie = rows.repartition("_e", "_slot").groupBy("_e", "_slot", "_blk", "_w", "_t", "_q").agg(F.max("_v").alias("_v"), F.count("*").alias("_c"))
-    at = tie.groupBy("_e", "_slot", "_blk", "_w", "_t").agg(F.max_by("_v", "_q").alias("_v"), F.sum("_c").alias("_c"))
-    seen = at.groupBy("_e", "_slot", "_blk", "_w").agg(F.max_by("_v", "_t").alias("_v"), F.sum("_c").alias("_c"))
+    tie = rows.repartition("_e", "_slot").groupBy("_e", "_slot", "_w", "_t", "_q").agg(F.max("_v").alias("_v"), F.count("*").alias("_c"))
+    at = tie.groupBy("_e", "_slot", "_w", "_t").agg(F.max_by("_v", "_q").alias("_v"), F.sum("_c").alias("_c"))
+    seen = at.groupBy("_e", "_slot", "_w").agg(F.max_by("_v", "_t").alias("_v"), F.sum("_c").alias("_c"))
+    seen = seen.withColumn("_blk", F.floor(F.col("_slot") / F.col("_w") / BLOCK_SLOTS).cast("long"))
 
     # One row a block with readings: its first and last occupied slot, and what was known before it.
     ends = seen.groupBy("_e", "_w", "_blk").agg(F.min("_slot").alias("_lo"), F.max("_slot").alias("_hi"), F.max_by("_v", "_slot").alias("_hv"))
