@@ -184,6 +184,12 @@ def test_meta_and_stats(spark):
     assert [p.count() for p in parts] == [1, 150, 1]
 
 
+def test_unflushed(spark):
+    s = spark.createDataFrame([(1, 1, 0.0, 1), (1, 2, 0.0, 5), (1, 3, 0.0, 6), (2, 1, 0.0, 1), (1, 4, 0.0, None), (None, 1, 0.0, 9)], SAMPLES)
+    marks = spark.createDataFrame([(1, 5), (1, 3), (None, 9), (3, 1)], "series_id long, flushed_seq long")
+    assert sorted(r[:2] for r in rows(compaction.unflushed(s, marks))) == [(1, 3), (2, 1)]
+
+
 def test_kv_against_model(spark):
     rng = random.Random(1)
     data, states, model = [], {}, {}

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.operators.joins import join_checked
 from tidemark.operators.readings import floor_to
 from tidemark.operators.select import merge_stores
 from tidemark.operators.tombstones import apply, surviving
@@ -124,3 +125,13 @@ def retained(samples: DataFrame, keep_ms: int, now: Column | int) -> DataFrame:
 def checkpoint(series: DataFrame, samples: DataFrame, tombstones: DataFrame, keep: DataFrame, mint: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What a log keeps: series in `keep`, their samples from `mint` on, and tombstones that reach `mint`."""
     return series.join(keep, "series_id", "left_semi"), samples.where(F.col("ts_ms") >= mint).join(keep, "series_id", "left_semi"), surviving(tombstones, mint)
+
+
+def unflushed(samples: DataFrame, marks: DataFrame) -> DataFrame:
+    """What a log still has to keep: samples with a `seq` above their series' mark (series_id, flushed_seq), the highest number whose samples lie in blocks.
+
+    Series without a mark keep everything; a null `seq` is older than any mark. Replaying these after a restart brings nothing twice.
+    """
+    top = marks.where("series_id is not null").groupBy("series_id").agg(F.max("flushed_seq").alias("_mark"))
+    rows = join_checked(samples.where("series_id is not null"), top, ["series_id"], "left")
+    return rows.where(F.col("_mark").isNull() | (F.col("seq") > F.col("_mark"))).drop("_mark")

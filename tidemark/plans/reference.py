@@ -524,6 +524,14 @@ def checkpoint_filter(spark: SparkSession, folder: str) -> DataFrame:
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+@query(f"WITH m AS (SELECT series_id, max(seq) AS mark FROM samples WHERE series_id IS NOT NULL AND ts_ms < {END} GROUP BY series_id) SELECT x.series_id, x.ts_ms, x.value, x.seq FROM samples x LEFT JOIN m ON m.series_id = x.series_id WHERE x.series_id IS NOT NULL AND (m.mark IS NULL OR x.seq > m.mark)")
+def log_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """What a log keeps once all inserts up to each series' last one before a time are flushed."""
+    rows = table(spark, folder, "samples")
+    marks = rows.where(F.col("ts_ms") < END).groupBy("series_id").agg(F.max("seq").alias("flushed_seq"))
+    return compaction.unflushed(rows, marks).select("series_id", "ts_ms", "value", "seq")
+
+
 @query("SELECT min(t) AS t, min(a) AS a, min(b) AS b FROM (SELECT series_id AS t, greatest(min_t, 1389052800000) AS a, least(max_t, 1389657600000) AS b FROM tombstones WHERE greatest(min_t, 1389052800000) <= least(max_t, 1389657600000)) GROUP BY t, a, b")
 def clamp_ranges(spark: SparkSession, folder: str) -> DataFrame:
     """Deleted ranges clipped to a week."""
@@ -593,6 +601,14 @@ def stream_tumbling(spark: SparkSession, folder: str) -> DataFrame:
     return ingest.to_table(ingest.tumbling(rows, "1 hour"), f"{shared_folder(spark)}/streams")
 
 
+@query(f"""SELECT series_id, o - ((o % {HOUR}) + {HOUR}) % {HOUR} - k * {HOUR} AS bucket_ms, count(*) AS n, max(value) AS max_value
+FROM (SELECT series_id, ts_ms AS o, value FROM samples WHERE series_id IS NOT NULL AND ts_ms IS NOT NULL AND value IS NOT NULL), (VALUES (0), (1), (2)) AS t(k) GROUP BY 1, 2""")
+def stream_sliding(spark: SparkSession, folder: str) -> DataFrame:
+    """Maxima over three hours, every hour."""
+    rows = ingest.inserts(spark, f"{folder}/samples.parque[t]")
+    return ingest.to_table(ingest.tumbling(rows, "3 hours", slide="1 hour"), f"{shared_folder(spark)}/streams")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -66,10 +66,10 @@ def deduplicated(stream: DataFrame, late: str = "2 days") -> DataFrame:
     return stream.where("ts_ms is not null").withColumn("ts", F.timestamp_millis(F.col("ts_ms") + 1_461_000 * 86_400_000)).withWatermark("ts", late).dropDuplicatesWithinWatermark(["series_id", "ts_ms", "value", "seq"]).drop("ts")
 
 
-def tumbling(stream: DataFrame, width: str = "5 minutes", late: str = "2 days") -> DataFrame:
-    """(series_id, bucket_ms, n, max_value) of tumbling windows; rows later than the watermark are dropped (in append mode, times before 1970 are late from the start), NaN is greater than any number."""
+def tumbling(stream: DataFrame, width: str = "5 minutes", late: str = "2 days", slide: str | None = None) -> DataFrame:
+    """(series_id, bucket_ms, n, max_value) of tumbling windows, or with `slide` of windows that begin that often; rows later than the watermark are dropped (in append mode, times before 1970 are late from the start), NaN is greater than any number."""
     rows = stream.where("ts_ms is not null and value is not null and series_id is not null").withColumn("ts", F.timestamp_millis("ts_ms"))
-    out = rows.withWatermark("ts", late).groupBy("series_id", F.window("ts", width)).agg(F.count("*").alias("n"), F.max("value").alias("max_value"))
+    out = rows.withWatermark("ts", late).groupBy("series_id", F.window("ts", width, slide)).agg(F.count("*").alias("n"), F.max("value").alias("max_value"))
     return out.select("series_id", F.unix_millis("window.start").alias("bucket_ms"), "n", "max_value")
 
 
