@@ -1,6 +1,11 @@
+import sys
+from pathlib import Path
+
 import pytest
 
-from tidemark.session import build_session
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+
+from tidemark.session import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
