@@ -94,6 +94,24 @@ def test_sketch_bounds_hold(spark, cells):
     assert sorted(rows(again), key=repr) == sorted(rows(merged), key=repr)
 
 
+def test_sketch_adds_batch_by_batch_and_passes_names_on(monkeypatch):
+    import pyarrow as pa
+
+    import tidemark.llm.frequent as f
+
+    monkeypatch.setattr(f, "BLOCK", 10)
+    monkeypatch.setattr(f, "NAMES", 2)
+    rng = random.Random(5)
+    data = [(f"1n{rng.randrange(5)}", rng.choice(["a", "a", "a", f"v{rng.randrange(50)}"])) for _ in range(400)]
+    cells = {v: hash(v) % 4 for _, v in data}
+    batches = [pa.record_batch([pa.array([x[0] for x in data[i : i + 7]]), pa.array([x[1] for x in data[i : i + 7]]), pa.array([cells[x[1]] for x in data[i : i + 7]], pa.int32())], ["n", "v", "c0"]) for i in range(0, 400, 7)]
+    out = [r for b in f._partials(1, 4)(iter(batches)) for r in b.to_pylist()]
+    total = Counter()
+    for r in out:
+        total[r["name"]] += r["total"]
+    assert total == Counter(x[0] for x in data) and len({(r["name"], r["cell"]) for r in out}) < len(out)
+
+
 @pytest.mark.parametrize("cells", [2048, 16, 2])
 def test_heavy_hitters_exact_at_any_width(spark, cells):
     data = stream(2)

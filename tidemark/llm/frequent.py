@@ -14,6 +14,8 @@ from tidemark.session import ship, written
 
 #: Hash rows and cells of a row of the sketch of one name. See `sketch` for what they guarantee.
 ROWS, CELLS = 4, 2048
+#: Names whose sketches a task holds; with more it passes its sketches on and begins anew, as sketches merge.
+NAMES = 64
 #: Rows that are counted together before they are added to a sketch.
 BLOCK = 400_000
 
@@ -70,19 +72,25 @@ def _partials(rows: int, cells: int):  # noqa: ANN202
                 pick = np.flatnonzero(code == i)
                 held.setdefault(name, _Sketch(rows, cells)).add(values[pick], n[pick], [c[pick] for c in at])
 
+        def emit() -> Iterator[pa.RecordBatch]:
+            for name, s in held.items():
+                for r in range(rows):
+                    c = np.flatnonzero(s.total[r])
+                    if len(c):
+                        yield pa.record_batch([pa.array([name] * len(c), pa.string()), pa.array([r] * len(c), pa.int32()), pa.array(c, pa.int32()), pa.array(s.total[r, c], pa.int64()), pa.array(s.candidate[r, c].tolist(), pa.string()), pa.array(s.votes[r, c], pa.int64())], ["name", "row", "cell", "total", "candidate", "votes"])
+            held.clear()
+
         for b in batches:
             block.append(b)
             size += b.num_rows
             if size >= BLOCK:
                 close()
                 block, size = [], 0
+                if len(held) > NAMES:
+                    yield from emit()
         if block:
             close()
-        for name, s in held.items():
-            for r in range(rows):
-                c = np.flatnonzero(s.total[r])
-                if len(c):
-                    yield pa.record_batch([pa.array([name] * len(c), pa.string()), pa.array([r] * len(c), pa.int32()), pa.array(c, pa.int32()), pa.array(s.total[r, c], pa.int64()), pa.array(s.candidate[r, c].tolist(), pa.string()), pa.array(s.votes[r, c], pa.int64())], ["name", "row", "cell", "total", "candidate", "votes"])
+        yield from emit()
 
     return run
 
@@ -91,7 +99,7 @@ def sketch(df: DataFrame, name: str = "name", value: str = "value", rows: int =
     """(name, row, cell, total, candidate, votes): partial sketches, one set for each partition of `df`, of any number of rows.
 
     Each cell holds how many rows fell into it, the value that leads, and by how many votes once unequal values have cancelled
-    each other. Rows with a null or empty value count nowhere; a null name is a name. Memory of a task: rows x cells entries for each name.
+    each other. Rows with a null or empty value count nowhere; a null name is a name. Memory of a task: rows x cells entries for each of about NAMES names.
     `merge` combines sketches of partitions, days or tables.
     """
     ship(df.sparkSession)
