@@ -45,8 +45,9 @@ def p2_metric(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(percentiles(named, ["metric"], "value", PROBS))
 
 
-#: Numbers as the tags spell them: digits with an optional sign, point and exponent. Other spellings are unreadable.
-_NUMBER = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+#: Numbers as the tags spell them: digits with an optional sign, a point or comma before the decimals, an exponent, and spaces around. Other
+#: spellings (a unit behind the number, words, signs alone) are unreadable.
+_NUMBER = r"^ *[+-]?(\d+([.,]\d*)?|[.,]\d+)([eE][+-]?\d+)? *$"
 
 
 def p2_zone(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,7 +55,7 @@ def p2_zone(spark: SparkSession, folder: str) -> DataFrame:
     tags = table(spark, folder, "tags")
     zone = tags.where("name = 'zone' and value <> ''").groupBy("seq").agg(F.max("value").alias("zone"))
     rows = tags.where("name in ('took_ms', 'size_b')").where(F.col("value").rlike(_NUMBER))
-    rows = rows.select("seq", "name", F.col("value").cast("double").alias("value"), _day().alias("day")).join(zone, "seq", "left")
+    rows = rows.select("seq", "name", F.translate(F.trim("value"), ",", ".").cast("double").alias("value"), _day().alias("day")).join(zone, "seq", "left")
     return _shown(percentiles(partial_counts(rows, ["name", "zone"], "value", "day"), ["name", "zone"], "value", PROBS))
 
 
@@ -157,7 +158,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_series": _ranked(f"SELECT series_id, value + 0.0 AS value FROM samples WHERE series_id IS NOT NULL AND {good}", "series_id", "{0}.series_id = w.series_id"),
         "p2_metric": _ranked(f"SELECT m.metric, s.value + 0.0 AS value FROM samples s JOIN (SELECT series_id, min(metric) AS metric FROM series WHERE series_id IS NOT NULL AND metric IS NOT NULL GROUP BY series_id) m ON m.series_id = s.series_id WHERE {good.replace('value', 's.value')}", "metric", "{0}.metric = w.metric"),
-        "p2_zone": _ranked("SELECT t.name, z.zone, CAST(t.value AS DOUBLE) + 0.0 AS value FROM tags t LEFT JOIN (SELECT seq, max(value) AS zone FROM tags WHERE name = 'zone' AND value <> '' GROUP BY seq) z ON z.seq = t.seq WHERE t.name IN ('took_ms', 'size_b') AND regexp_full_match(t.value, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?')", "name, zone", "{0}.name = w.name AND {0}.zone IS NOT DISTINCT FROM w.zone"),
+        "p2_zone": _ranked("SELECT t.name, z.zone, CAST(replace(trim(t.value), ',', '.') AS DOUBLE) + 0.0 AS value FROM tags t LEFT JOIN (SELECT seq, max(value) AS zone FROM tags WHERE name = 'zone' AND value <> '' GROUP BY seq) z ON z.seq = t.seq WHERE t.name IN ('took_ms', 'size_b') AND regexp_full_match(t.value, ' *[+-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)([eE][+-]?[0-9]+)? *')", "name, zone", "{0}.name = w.name AND {0}.zone IS NOT DISTINCT FROM w.zone"),
         "p3_combinations": f"""WITH i AS (SELECT seq, max(series_id) AS series_id, max({day}) AS day, max(CASE WHEN name = 'zone' AND value <> '' THEN value END) AS zone, max(CASE WHEN name = 'build' AND value <> '' THEN value END) AS build FROM tags GROUP BY seq),
 r AS (SELECT 'series_id' AS counted, day, zone, build, CAST(series_id AS VARCHAR) AS ident FROM i UNION ALL SELECT t.name, i.day, i.zone, i.build, t.value FROM tags t JOIN i ON i.seq = t.seq WHERE t.name IN ('client', 'trace') AND t.value <> '') {" UNION ALL ".join(levels)}""",
         "p3_names": f"""WITH r AS (SELECT {day} AS day, name, 'value' AS counted, CASE WHEN value <> '' THEN value END AS ident FROM tags WHERE name IS NOT NULL UNION ALL SELECT {day}, name, 'series_id', CAST(series_id AS VARCHAR) FROM tags WHERE name IS NOT NULL)
