@@ -131,7 +131,7 @@ def sparse_part(m: np.ndarray, seen: np.ndarray, noise: float = 1.4826, limit: f
     return m - low
 
 
-def flag_chunk(t: np.ndarray, v: np.ndarray, own: np.ndarray, counter: bool, lo: float, hi: float, step: int, usual: float, varies: bool, far: float = 10.0, run: int = 10) -> np.ndarray:
+def flag_chunk(t: np.ndarray, v: np.ndarray, counter: bool, lo: float, hi: float, step: int, usual: float, varies: bool, far: float = 10.0, run: int = 10) -> np.ndarray:
     """The kinds of the readings of a chunk and its neighbours' nearest: 0 none, 1 impossible, 2 stuck, 3 spike."""
     kind = np.zeros(len(v), np.int8)
     ok = np.isfinite(v) & (v >= lo) & (v <= hi)
@@ -202,7 +202,7 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             t, v = np.concatenate((bt, t, at)), np.concatenate((bv, v, av))
             own = np.zeros(len(t), bool)
             own[len(bt) : len(t) - len(at)] = True
-            kind = flag_chunk(t, v, own, r["counter"], r["lo"], r["hi"], r["step"], r["u"], r["varies"])
+            kind = flag_chunk(t, v, r["counter"], r["lo"], r["hi"], r["step"], r["u"], r["varies"])
             hit = own & (kind > 0)
             if hit.any():
                 es.append(np.full(int(hit.sum()), r["_e"]))
@@ -217,7 +217,7 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def implausible(df: DataFrame, sources: DataFrame, *, entity: str = "series_id", time_ms: str = "ts_ms", value: str = "value", seq: str = "seq", lo: str = "lo", hi: str = "hi", step: str = "scrape_ms", counter: str = "counter") -> DataFrame:
     """Readings that can't be right: (entity, time_ms, value, reason), reason "impossible", "stuck" or "spike", the first that holds.
 
-    `sources` has one row for each entity: its possible range (null: unbounded), `step` ms between readings, and whether it is
+    `sources` has one row for each entity (a BIGINT): its possible range (null: unbounded), `step` ms between readings, and whether it is
     a `counter`. Other entities, rows with a null entity, time or value, and sources without a positive step are left out.
     Last write wins as in `latest`.
 
