@@ -130,7 +130,7 @@ def test_mix_prefix_is_whole_in_any_ranges(spark, monkeypatch):
 
 @needs_vocabulary
 def test_tokens(spark):
-    df = spark.createDataFrame([(1, "Hello world, it's 5."), (2, ""), (3, None), (4, "x " * 50000), (None, "ä")], "doc_id long, text string").selectExpr("doc_id", "text", "7 as _text2")
+    df = spark.createDataFrame([(1, "Hello world, it's 5."), (2, ""), (3, None), (4, "x " * 50000), (None, "ä")], "doc_id long, text string").selectExpr("doc_id", "text", "7 as _text", "'old' as tokens")
     got = {r["doc_id"]: r["tokens"] for r in with_tokens(df).collect()}
     assert got[1] == 7 and got[2] == 0 and got[3] == 0 and 50000 <= got[4] <= 50002 and got[None] >= 1
 

@@ -170,5 +170,5 @@ def residue(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str
 
 def without_residue(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """`df` without the documents in which `residue` finds something; rows with a null id are kept."""
-    bad = residue(df, doc, text, source).select(F.col(doc).alias("_bad")).distinct()
-    return df.join(bad, F.col(doc) == F.col("_bad"), "left_anti")
+    bad = residue(df, doc, text, source).select(doc).distinct()
+    return df.join(bad, doc, "left_anti").select(*df.columns)

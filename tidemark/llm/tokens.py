@@ -33,14 +33,15 @@ def _encoding(data: bytes):  # noqa: ANN202
 
 
 def with_tokens(df: DataFrame, text: str = "text", out: str = "tokens", path: str = TOKENIZER) -> DataFrame:
-    """`df` with the size of `text` in tokens as a last column `out` (BIGINT); null and empty texts have size 0. `text` itself is dropped.
+    """`df` with the size of `text` in tokens as a last column `out` (BIGINT); null and empty texts have size 0. `text` itself is dropped, and
+    a column that is called `out` already is replaced.
 
     The vocabulary is read once, on the driver, and broadcast: a file of fixed size (about 1 MB), which need not lie on the executors. Whole texts are encoded.
     """
     spark = df.sparkSession
     ship(spark)
     ranks = spark.sparkContext.broadcast(Path(path).read_bytes())
-    cols = [c for c in df.columns if c != text]
+    cols = [c for c in df.columns if c not in (text, out)]
     schema = df.select(*cols).schema.add(out, "long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
