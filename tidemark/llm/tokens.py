@@ -42,6 +42,7 @@ def with_tokens(df: DataFrame, text: str = "text", out: str = "tokens", path: st
     ship(spark)
     ranks = spark.sparkContext.broadcast(Path(path).read_bytes())
     cols = [c for c in df.columns if c not in (text, out)]
+    held = next(n for i in range(len(cols) + 1) if (n := f"_text{i}") not in cols)
     schema = df.select(*cols).schema.add(out, "long")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,4 +51,4 @@ def with_tokens(df: DataFrame, text: str = "text", out: str = "tokens", path: st
             size = [len(enc.encode_ordinary(t)) if t else 0 for t in b.column(b.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(size, pa.int64())], [*b.schema.names[:-1], out])
 
-    return df.select(*cols, F.col(text).cast("string").alias("_text")).mapInArrow(count, schema)
+    return df.select(*cols, F.col(text).cast("string").alias(held)).mapInArrow(count, schema)
