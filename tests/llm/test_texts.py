@@ -167,6 +167,12 @@ def test_residue_that_must_recur(spark):
     assert {r[0] for r in residue(spark.createDataFrame(many, cols)).collect()} == {0, 1, 2, 3, 4, 9, None}
 
 
+def test_answers_that_recur_stay(spark):
+    answers = ["Access is denied until you restart Dusto, then it works.", "Not found in the manual either, sorry.", "Works, thanks.", "It was under maintenance then.", "nope"]
+    df = spark.createDataFrame([(i, a, f"s{i % 4}") for i, a in enumerate(answers * 20)], "doc_id long, text string, source string")
+    assert residue(df).count() == 0
+
+
 def test_residue_reads_to_the_end(spark):
     long = "A sentence of prose that goes on. " * 20000
     df = spark.createDataFrame([(1, long + "\nPlease enable JavaScript to read this page.", "a"), (2, long, "a")], "doc_id long, text string, source string")

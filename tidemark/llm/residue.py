@@ -68,8 +68,10 @@ _PHRASES = re.compile(
         r"\berror <num>: |\bhttp <num> / |^\W*<num> (?:-|–|:) (?:the |page|not|bad|internal|service|gateway|forbidden)|\bupstream did not answer\b|\bthe database is not available\b|\btemplate engine (?:out of|failed|error)|\bfatal: .{0,60} on line <num>|\bservidor no (?:está )?disponible\b|\bserveur (?:indisponible|surchargé)\b|\bservice (?:temporarily )?unavailable\b|\bbad gateway\b|\binternal server error\b|\bgateway time-?out\b",
     ))
 )
-# Of these a site speaks too, but so do people: only as a message that recurs widely.
-_PERHAPS = re.compile(r"\bnot found\b.{0,20}<num>|<num>.{0,20}\bnot found\b|\b(?:access|permission) (?:is |was )?denied\b|\bforbidden\b|\btry again (?:later|in <num>)|\bmaintenance\b|\bnot available\b|\bwait <num> seconds\b|\b(?:loading|redirecting)\b\W*$|\bcookies?\b.{0,30}\b(?:accept|consent|policy)\b")
+# People write these words too: only a message that says nothing else and recurs widely is a site's.
+_PERHAPS = re.compile(
+    r"\W*(?:error\W*)?(?:<num>\W*)?(?:(?:page |file |object )?not found|(?:access |permission )?(?:is |was )?denied|forbidden|unauthorized|service unavailable|under maintenance|not available|(?:please )?(?:wait|try again)(?: later| <num> \w+| in <num> \w+)?|loading|redirecting|please wait)(?:\W*<num>)?\W*"
+)
 _ABOUT = re.compile(r"\b(?:how|why|does anyone|what is|what does|which|cómo|wie kann|comment)\b[^.?!]*\?")
 
 
@@ -132,7 +134,7 @@ def kind_of(message: str, recurs: bool) -> str | None:
     m = _PHRASES.search(message)
     if m and not _ABOUT.search(message):
         return "filler" if m.start() >= 0 and re.search(r"dummy|placeholder|filler|sample|copy|coming soon|tbd|test post|replaced|write your|type your|goes here|blindtext|platzhalter|fülltext|aquí va|relleno|provisoire|steht|texto", m.group(0)) else "notice"
-    if recurs and _PERHAPS.search(message) and not _ABOUT.search(message):
+    if recurs and _PERHAPS.fullmatch(message):
         return "notice"
     return None
 
