@@ -139,7 +139,7 @@ CODE = "Set it like this:\n\n```\nHello {{ name }}\n<noscript>Please enable Java
 RESIDUE = {
     "Dear {{first_name}}, thanks.": "template", "Hola #{x}, hay algo": "template", "Your order ${order.no} was sent": "template", "%(name)s wrote": "template", "see [[title]] now": "template", "Hi [INSERT NAME HERE]!": "template", "<your name here>": "template",
     "by __AUTHOR__": "template", "@@VERSION@@": "template", "«site name» asked": "template", "$team$ and $x$": "template", "%author%": "template", "Hello undefined, from [object Object]": "template", "(no value) replies": "template", "Asked by None on None.": "template", "total #REF! today": "template", "null (null) NaN minutes ago": "template", "Posted by [AUTHOR]": "template", "{summary} is ready": "template", "<%= title %>": "template", "(((team)))": "template",
-    "Lorem ipsum dolor sit amet, consectetur adipiscing elit.": "filler", "asdf asdf qwer hjkl": "filler", "xxxx": "filler", "test hjkl xxxx": "filler", "abc abc 123 abc 123 abc": "filler", "TBD TBD TBD": "filler", "Text goes here.": "filler", "Hier steht später ein Text.": "filler", "Content coming soon.": "filler", "Aquí\nva\nel\ncontenido.": "filler",
+    "Lorem ipsum dolor sit amet, consectetur adipiscing elit.": "filler", "asdf asdf qwer hjkl": "filler", "xxxx": "filler", "test hjkl xxxx": "filler", "abc abc 123 abc 123 abc": "filler", "TBD TBD TBD": "filler", "123\u00a0123 blah blah": "filler", "We cannot find what you were looki...": "notice", "Text goes here.": "filler", "Hier steht später ein Text.": "filler", "Content coming soon.": "filler", "Aquí\nva\nel\ncontenido.": "filler",
     "404 - the requested page does not exist.": "notice", "# Access to this resource is forbidden (403).": "notice", "PLEASE ENABLE JAVASCRIPT TO READ THIS PAGE.": "notice", "Diese Anwendung benötigt Skripte und Cookies.": "notice", "<h1>Page introuvable (502).</h1>": "notice", "Menu  Search\nToo many requests from your network. Wait 19 seconds.": "notice", "A real answer here.\n\nThis site needs scripts to run; your browser has them switched off.": "notice", ">> Accès refusé, référence 9f9fe9b9.": "notice", "HTTP 504 / gateway / ray db2fd3eb48": "notice",
 }
 CLEAN = [

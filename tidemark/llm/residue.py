@@ -63,7 +63,7 @@ _PHRASES = re.compile(
         r"\b(?:java ?script|scripts?|skripte|js|cookies?)\b(?: and (?:cookies|scripts))? (?:must|need to|have to|has to|müssen|muss|deben?|doivent|doit) (?:be )?(?:allowed|enabled|activated|turned on|switched on|aktiviert|erlaubt|zugelassen|estar|être)",
         r"\b(?:requires?|needs?|benötigt|braucht|necesita|requiere|nécessite)\b (?:java ?script|scripts? to run|skripte|js|cookies)\b|\bbrowser (?:is|was) (?:not|no longer) supported\b|\b(?:has|have) (?:them|java ?script|scripts|cookies) (?:switched|turned) off\b|\bnavegador no (?:permite|admite|es compatible)|\bnavigateur n'est pas (?:pris en charge|compatible)|\bbrowser wird nicht (?:mehr )?unterstützt|^\W*noscript:|\bnot a robot\b.{0,40}\bscripts?\b|\bcontent blocker, then reload\b|\bswitch to a newer (?:one|browser|version) to see\b|\bthis (?:site|page|app|application) (?:works best|needs scripts)",
         # a site or server speaking
-        r"\bthe requested (?:page|url|resource|document) (?:does not exist|was not found|could not be found|cannot be found)|\b(?:page|seite|página) (?:was )?(?:introuvable|not found|no encontrada|nicht gefunden)\b|\bdiese seite wurde nicht gefunden\b|\bwe cannot find what you were looking for\b|\bthat (?:thread|page|question|post) is gone\b|\bthis (?:question|post|thread|answer|page|topic) (?:was|has been) (?:removed|deleted|locked|moved) (?:for|by|and|due)\b.{0,60}|\bcan no longer be shown\b|\bunable to (?:load|display|show) this (?:answer|page|question|post|thread|content)\b",
+        r"\bthe requested (?:page|url|resource|document) (?:does not exist|was not found|could not be found|cannot be found)|\b(?:page|seite|página) (?:was )?(?:introuvable|not found|no encontrada|nicht gefunden)\b|\bdiese seite wurde nicht gefunden\b|\bwe cannot find what you were\b|\bthat (?:thread|page|question|post) is gone\b|\bthis (?:question|post|thread|answer|page|topic) (?:was|has been) (?:removed|deleted|locked|moved) (?:for|by|and|due)\b.{0,60}|\bcan no longer be shown\b|\bunable to (?:load|display|show) this (?:answer|page|question|post|thread|content)\b",
         r"\baccess to this (?:resource|page|site|server) is (?:forbidden|denied|restricted|blocked)\b|\bacc(?:ès|eso) (?:refusé|denegado|interdit)\b|\bzugriff (?:verweigert|verboten)\b|\btoo many requests\b|\bplease (?:sign|log) in again\b|\byour session (?:has )?(?:expired|timed out)\b|\bsomething went wrong(?: on our side)?\b|\bservice is (?:down|unavailable)\b|\bdown for maintenance\b|\bha ocurrido un error (?:interno|inesperado)\b|\bune erreur (?:interne|inattendue|est survenue)|\bein (?:interner|unerwarteter) fehler\b|\bserver ist (?:gerade |derzeit |zur zeit )?(?:überlastet|nicht erreichbar)|\bbitte später (?:erneut|noch einmal|wieder)",
         r"\berror <num>: |\bhttp <num> / |^\W*<num> (?:-|–|:) (?:the |page|not|bad|internal|service|gateway|forbidden)|\bupstream did not answer\b|\bthe database is not available\b|\btemplate engine (?:out of|failed|error)|\bfatal: .{0,60} on line <num>|\bservidor no (?:está )?disponible\b|\bserveur (?:indisponible|surchargé)\b|\bservice (?:temporarily )?unavailable\b|\bbad gateway\b|\binternal server error\b|\bgateway time-?out\b",
     ))
@@ -125,6 +125,8 @@ def kind_of(message: str, recurs: bool) -> str | None:
         run, keys = run + 1, keys + (w != "<num>" and w not in _NONSENSE)
         if run >= 4 and keys >= 2 or run == len(tokens) >= 2 and keys:
             return "filler"
+    if len(tokens) >= 4 and all(w == "<num>" or w in _NONSENSE for w in tokens) and sum(w != "<num>" for w in tokens) >= 2:
+        return "filler"
     if len(tokens) >= 5 and len(set(tokens)) <= 3 and max(map(len, tokens)) <= 5:
         return "filler"
     if len(tokens) == 1 and len(tokens[0]) >= 4 and tokens[0] not in _NONSENSE and _mash(tokens[0]):
