@@ -9,6 +9,7 @@ import pytest
 from tidemark.llm.distinct import count_distinct, partial_sets
 from tidemark.llm.frequent import bounds, heavy_hitters, merge, sketch
 from tidemark.llm.quantiles import partial_counts, percentiles
+from tidemark.llm.queries import p2_zone
 
 NAN, INF = float("nan"), float("inf")
 PROBS = (0.0, 0.1, 0.5, 0.99, 1.0)
@@ -126,3 +127,11 @@ def test_heavy_hitters_exact_at_any_width(spark, cells):
 def test_share_at_the_border(spark):
     data = [("a", "x")] * 7 + [("a", f"v{i}") for i in range(693)]
     assert rows(heavy_hitters(spark.createDataFrame(data, "name string, value string"), 0.01)) == [("a", "x", 7, 700)]
+
+
+def test_numbers_with_a_unit_are_read(spark, tmp_path):
+    values = ["1", "2,5 u", " 3e0u ", "+4 u", "n/a", "-", "NaN", "", "u", "5 s", "6 u u", None]
+    data = [(i, 0, i, "took_ms", v) for i, v in enumerate(values)] + [(i, 0, i, "zone", "a") for i in range(len(values))]
+    spark.createDataFrame(data, "series_id long, ts_ms long, seq long, name string, value string").write.parquet(f"{tmp_path}/tags.parquet")
+    got = {(r["name"], r["zone"], r["p"]): (r["value"], r["count"]) for r in p2_zone(spark, str(tmp_path)).collect()}
+    assert got[("took_ms", "a", 0.5)] == (2.75, 4)

@@ -45,9 +45,9 @@ def p2_metric(spark: SparkSession, folder: str) -> DataFrame:
     return _shown(percentiles(named, ["metric"], "value", PROBS))
 
 
-#: Numbers as the tags spell them: digits with an optional sign, a point or comma before the decimals, an exponent, and spaces around. Other
-#: spellings (a unit behind the number, words, signs alone) are unreadable.
-_NUMBER = r"^ *[+-]?(\d+([.,]\d*)?|[.,]\d+)([eE][+-]?\d+)? *$"
+#: Numbers as the tags spell them: digits with an optional sign, a point or comma before the decimals, an exponent, the unit "u" behind, and
+#: spaces around. Other spellings (other units, whose scale isn't known, words, signs alone) are unreadable.
+_NUMBER = r"^ *[+-]?(\d+([.,]\d*)?|[.,]\d+)([eE][+-]?\d+)? *u? *$"
 
 
 def p2_zone(spark: SparkSession, folder: str) -> DataFrame:
@@ -55,7 +55,7 @@ def p2_zone(spark: SparkSession, folder: str) -> DataFrame:
     tags = table(spark, folder, "tags")
     zone = tags.where("name = 'zone' and value <> ''").groupBy("seq").agg(F.max("value").alias("zone"))
     rows = tags.where("name in ('took_ms', 'size_b')").where(F.col("value").rlike(_NUMBER))
-    rows = rows.select("seq", "name", F.translate(F.trim("value"), ",", ".").cast("double").alias("value"), _day().alias("day")).join(zone, "seq", "left")
+    rows = rows.select("seq", "name", F.trim(F.translate("value", ",u", ".")).cast("double").alias("value"), _day().alias("day")).join(zone, "seq", "left")
     return _shown(percentiles(partial_counts(rows, ["name", "zone"], "value", "day"), ["name", "zone"], "value", PROBS))
 
 
