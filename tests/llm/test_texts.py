@@ -2,12 +2,14 @@
 
 import os
 from collections import Counter
+from re import _constants as sre, _parser
 
 import numpy as np
 import pytest
 
 from tidemark.llm.mixing import mix, share_out, shares
 from tidemark.llm.packing import pack, plan, price
+from tidemark.llm import residue as rules
 from tidemark.llm.residue import kind_of, residue, without_residue
 from tidemark.llm.tokens import TOKENIZER, with_tokens
 
@@ -177,3 +179,43 @@ def test_residue_reads_to_the_end(spark):
     long = "A sentence of prose that goes on. " * 20000
     df = spark.createDataFrame([(1, long + "\nPlease enable JavaScript to read this page.", "a"), (2, long, "a")], "doc_id long, text string, source string")
     assert [r[0] for r in residue(df).collect()] == [1]
+
+
+def spelled(tree):
+    """Texts that a parsed pattern matches: every choice of its alternatives, options without and with, gaps at their least."""
+    out = [""]
+    for op, a in tree:
+        if op in (sre.LITERAL,):
+            part = [chr(a)]
+        elif op is sre.BRANCH:
+            part = [x for t in a[1] for x in spelled(t)]
+        elif op is sre.SUBPATTERN:
+            part = spelled(a[3])
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT):
+            once = spelled(a[2])
+            # A repeated group of words is tried with each of them once, not in every order.
+            part = sorted({x * max(a[0], 1) for x in once} | ({""} if a[0] == 0 else set()))
+        elif op is sre.IN:
+            part = [chr(x) if o is sre.LITERAL else {sre.CATEGORY_NOT_WORD: " ", sre.CATEGORY_WORD: "q"}.get(x, "q") for o, x in a if o in (sre.LITERAL, sre.CATEGORY)]
+        elif op in (sre.ANY, sre.NOT_LITERAL):
+            part = [" "]
+        else:  # positions and what stands around
+            assert op in (sre.AT, sre.ASSERT, sre.ASSERT_NOT), op
+            part = [""]
+        out = [x + y for x in out for y in part]
+    return out
+
+
+@pytest.mark.parametrize("name", ["_FAILED", "_PHRASES", "_PERHAPS", "_VOID"])
+def test_words_are_asked_for_only_where_no_rule_is_lost(name):
+    rule = getattr(rules, name)
+    texts = {x for x in spelled(_parser.parse(rule.pattern, rule.flags)) if rule.search(x) and rules._WORD.search(x)}
+    assert len(texts) >= 5
+    lost = [x for x in texts if not rules._has_stem(rules._WORD.findall(x)) and not (rules._LEADS.match(x) if name in ("_PHRASES", "_PERHAPS") else "#" in x or "(" in x)]
+    assert lost == []
+
+
+def test_failed_values_without_other_words():
+    assert kind_of("hello <no value>, welcome back.", False) == "template"
+    assert kind_of("hello[object object], welcome", False) == "template"
+    assert kind_of("unauthorized.", True) == "notice" and kind_of("unauthorized.", False) is None

@@ -79,7 +79,7 @@ _ABOUT = re.compile(r"\b(?:how|why|does anyone|what is|what does|which|cómo|wie
 _STEMS = frozenset(
     "dummy place fille sampl examp body here comin tbd ignor repla write type hier blind platz füllt aquí relle ejemp prueb provi rempl exemp faux javas java scrip skrip js cooki brows naveg navig noscr block newer works "
     "reque intro found encon gefun canno gone remov delet locke moved longe unabl forbi denie restr refus deneg inter verwe verbo again sessi wrong servi maint error erreu fehle serve späte http upstr datab templ fatal unava gatew "
-    "inval nan object undef null none nil permi acces later wait loadi redir avail try".split()
+    "switc turne inval nan objec value undef null none nil permi acces unaut later wait loadi redir avail try".split()
 )
 _SIGNS = re.compile(r"[{\[%$@_«#]|\(\(\(|\((?:null|no value)\)|<(?!num>|addr>|date>|id>)")
 _LEADS = re.compile(r"\W*<num>")
@@ -105,10 +105,14 @@ def _mash(word: str) -> bool:
     return len(word) >= 3 and (len(set(word)) == 1 or any(word in row or word in row[::-1] for row in _ROWS)) or word in _NONSENSE
 
 
+def _has_stem(words: list[str]) -> bool:
+    return not _STEMS.isdisjoint(w[:5] for w in words)
+
+
 def kind_of(message: str, recurs: bool) -> str | None:
     """The kind of residue in one masked message: "template", "filler", "notice" (a site, server or script notice speaks), or None."""
     words = _WORD.findall(message)
-    stems = not _STEMS.isdisjoint(w[:5] for w in words)
+    stems = _has_stem(words)
     if _SIGNS.search(message) and (_OPEN.search(message) or _LOOSE.search(message)):
         return "template"
     if (stems or "#" in message or "(" in message) and (_FAILED.search(message) or len(_VOID.findall(message)) >= 2):
