@@ -6,6 +6,7 @@ from re import _constants as sre, _parser
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm.mixing import mix, share_out, shares
 from tidemark.llm.packing import pack, plan, price
@@ -219,3 +220,14 @@ def test_failed_values_without_other_words():
     assert kind_of("hello <no value>, welcome back.", False) == "template"
     assert kind_of("hello[object object], welcome", False) == "template"
     assert kind_of("unauthorized.", True) == "notice" and kind_of("unauthorized.", False) is None
+
+
+def test_placeholders_with_numbers_and_in_addresses(spark):
+    bad = ["${line1}", "{address_line_1}", "%FIELD1%", "[[item 2]]", "__FIELD1__", "@@V2@@", "%(row2)s", "(((part 3)))", "«Field1»", "$FIELD1$", "${abc123}", "{report-2024-01-01}"]
+    bad += ["https://${host}/reset", "https://{{ domain }}/x", "www.{{site}}.com", "https://shop.example/%DATE%/caf%C3%A9", "https://[domain]/x", "__USER__@example.com", "a.b@__DOMAIN__.com", "ftp://{host_2}/x"]
+    good = ["https://shop.example/caf%C3%A9%20b%20c/__x", "https://shop.example/" + "a" * 50000, "." * 20000 + " a.b.c@example.com", "see [note 1] and [RFC2119]", "$x_1$ is small", "{3f2504e0-4f89-11d3-9a0c-0305e82c3301}", "https://a.example/b)[edit](c)", "https://x.example/?f[name]=1", "jo.do+x@mail.example.com.", "a@b.example, c@d.example"]
+    df = spark.createDataFrame([(i, f"We wrote {t} in the letter.", "s1") for i, t in enumerate(bad + good)], "doc_id long, text string, source string")
+    got = {r["doc_id"] for r in residue(df).collect()}
+    assert [t[:60] for i, t in enumerate(bad) if i not in got] == [] and [t[:60] for i, t in enumerate(bad + good) if i in got and t in good] == []
+    seen = [r[0] for r in spark.createDataFrame([("Go to https://a.example/%7Bx?y=1 or jo.do@mail.example.com.",)], "t string").select(rules.masked(F.col("t"))).collect()]
+    assert seen == ["go to <addr> or <addr>."]

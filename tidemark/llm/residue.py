@@ -23,9 +23,16 @@ _SHOWN = (
 #: Where a message ends: with its line or sentence.
 _ENDS = r"\n|(?<=[.!?])\s+"
 _SPACE = r"[\t\r\f\x0b \u00a0\u2000-\u200b\u202f\u3000]+"
-# What differs between copies of the same message.
+# A placeholder within an address, in lower case; not its percent signs, and brackets only where a part of it begins.
+_PLAIN = r"\p{L}[\w\p{L}]*(?:[ ._-][\w\p{L}]+){0,3}"
+_FILLED = (
+    rf"\{{\{{[^{{}}\n]{{0,80}}\}}\}}|\{{%[^\n]{{0,80}}?%\}}|<%[^\n]{{0,80}}?%>|[$#]\{{\s*{_PLAIN}\s*\}}|%\({_PLAIN}\)[sdifr]|\[\[\s*{_PLAIN}\s*\]\]|\(\(\(\s*{_PLAIN}\s*\)\)\)|@@{_PLAIN}@@"
+    rf"|(?<!\w)__{_PLAIN}__(?!\w)|<(?:your|insert|enter) [^<>\n]{{1,40}}>|«{_PLAIN}»|(?<![\w$])\${_PLAIN}\$(?![\w$])|(?<![\w%])%{_PLAIN}%(?![\w%])|(?<![\w$#{{%\]])\{{\s*{_PLAIN}\s*\}}(?!\}})|(?<=[/.=])\[{_PLAIN}\](?![\](:\[])"
+)
+_PAST = rf"(?:(?!(?=[{{<$#%\[(@_«])(?:{_FILLED}))\S)++"  # possessive: long addresses need no stack
+# What differs between copies of the same message; addresses end where a placeholder begins.
 _MASKS = (
-    (r"(?:https?|ftp)://\S+|www\.\S+|\b[\w.+-]+@[\w-]+\.[\w.]+\b|\b\d{1,3}(?:\.\d{1,3}){3}\b", "<addr>"),
+    (rf"(?:https?|ftp)://{_PAST}|www\.{_PAST}|" + r"\b(?!__)\w*+(?:[.+-](?!__)\w*+)*+@(?!__)[\w-]+\.(?!__)[\w.]+\b|\b\d{1,3}(?:\.\d{1,3}){3}\b", "<addr>"),
     (r"\b\d{4}-\d\d-\d\d(?:[t ]\d\d:\d\d(?::\d\d)?)?\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d{1,2}:\d\d(?::\d\d)?\b", "<date>"),
     (r"\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{6,}\b", "<id>"),
     (r"\d+", "<num>"),
@@ -35,12 +42,16 @@ _MASKS = (
 RECUR_DOCS, RECUR_SOURCES = 3, 2
 
 _NAME = r"[^\W\d_]\w*(?:[ ._-]\w+){0,3}"
+# A name with masks; single brackets, guillemets and dollars also hold references, quotations and formulas ("[note 1]", "$x_1$"), so that marks must be glued there.
+_MASK = r"<(?:num|id|date)>"
+_MARKED = rf"(?:[^\W\d_]|<id>)(?:\w|{_MASK})*(?:[ ._-](?:\w|{_MASK})+){{0,3}}"
+_GLUED = rf"[^\W\d_]{{3}}(?:\w|<num>)*(?:[._-](?:\w|<num>)+){{0,3}}"
 _OPEN = re.compile(
-    rf"\{{\{{[^{{}}\n]{{0,80}}\}}\}}|\{{%[^\n]{{0,80}}?%\}}|<%[^\n]{{0,80}}?%>|[$#]\{{\s*{_NAME}\s*\}}|%\({_NAME}\)[sdifr]|\[\[\s*{_NAME}\s*\]\]|\(\(\(\s*{_NAME}\s*\)\)\)"
-    rf"|@@{_NAME}@@|(?<!\w)__(?!init__|main__|name__|file__){_NAME}?__(?!\w)|<(?:your|insert|enter) [^<>\n]{{1,40}}>|\[(?:your|insert|enter|add) [^\[\]\n]{{1,40}}\]|«{_NAME}»|(?<![\w$])\${_NAME}\$(?![\w$])|(?<![\w%])%{_NAME}%(?![\w%])",
+    rf"\{{\{{[^{{}}\n]{{0,80}}\}}\}}|\{{%[^\n]{{0,80}}?%\}}|<%[^\n]{{0,80}}?%>|[$#]\{{\s*{_MARKED}\s*\}}|%\({_MARKED}\)[sdifr]|\[\[\s*{_MARKED}\s*\]\]|\(\(\(\s*{_MARKED}\s*\)\)\)"
+    rf"|@@{_MARKED}@@|(?<!\w)__(?!init__|main__|name__|file__){_MARKED}?__(?!\w)|<(?:your|insert|enter) [^<>\n]{{1,40}}>|\[(?:your|insert|enter|add) [^\[\]\n]{{1,40}}\]|«(?:{_NAME}|{_GLUED})»|(?<![\w$])\$(?:{_NAME}|{_GLUED})\$(?![\w$])|(?<![\w%])%{_MARKED}%(?![\w%])",
     re.I,
 )
-_LOOSE = re.compile(rf"(?<![\w$#{{%\]])\{{\s*{_NAME}\s*\}}(?!\}})|(?<![\w\[!])\[{_NAME}\](?![\](:\[])", re.I)
+_LOOSE = re.compile(rf"(?<![\w$#{{%\]])\{{\s*{_MARKED}\s*\}}(?!\}})|(?<![\w\[!])\[{_NAME}\](?![\](:\[])", re.I)
 _FAILED = re.compile(r"\[object \w+\]|\binvalid date\b|\(no value\)|\(null\)|#(?:ref|value|name|div/<num>)[!?]|\bnan (?:second|minute|hour|day|week|month|year)s?\b|<no value>", re.I)
 _VOID = re.compile(r"(?<![\w.`])(?:undefined|null|none|nan|nil)(?![\w`])", re.I)
 
