@@ -231,3 +231,10 @@ def test_placeholders_with_numbers_and_in_addresses(spark):
     assert [t[:60] for i, t in enumerate(bad) if i not in got] == [] and [t[:60] for i, t in enumerate(bad + good) if i in got and t in good] == []
     seen = [r[0] for r in spark.createDataFrame([("Go to https://a.example/%7Bx?y=1 or jo.do@mail.example.com.",)], "t string").select(rules.masked(F.col("t"))).collect()]
     assert seen == ["go to <addr> or <addr>."]
+
+
+def test_wrapped_sentences_are_messages(spark):
+    bad = ["Please enable\nJavaScript to read this page in your browser.", "Well, then.\nThe requested page\ncould not be found on this server.\nThat is what it said there.", "The requested \n page could not be found on this server, try another one."]
+    good = ["Things that I had to enable\n\nJavaScript in the browser of that old laptop there", "What they told me to enable\n- JavaScript in the browser of that old laptop there", "What they told me to enable\n \n \nJavaScript in the browser of that old laptop there"]
+    df = spark.createDataFrame([(i, t, "s1") for i, t in enumerate(bad + good)], "doc_id long, text string, source string")
+    assert sorted(r["doc_id"] for r in residue(df).collect()) == [0, 1, 2]

@@ -22,6 +22,8 @@ _SHOWN = (
 )
 #: Where a message ends: with its line or sentence.
 _ENDS = r"\n|(?<=[.!?])\s+"
+#: A line break within a paragraph, before a line that isn't an item of a list.
+_WRAPS = r"(?<!\n) ?\n ?(?! ?(?:\n|[-*+•#|>]|<num>[.)]))"
 _SPACE = r"[\t\r\f\x0b \u00a0\u2000-\u200b\u202f\u3000]+"
 # A placeholder within an address, in lower case; not its percent signs, and brackets only where a part of it begins.
 _PLAIN = r"\p{L}[\w\p{L}]*(?:[ ._-][\w\p{L}]+){0,3}"
@@ -167,7 +169,7 @@ def residue(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str
     """(doc, kind, message): the documents that hold template residue, filler or a notice in place of content, one row for each
     document and kind, with an example (the first in byte order).
 
-    The prose of a text, without code and quotations, falls into messages: the sentences of its lines. Messages are masked
+    The prose of a text, without code and quotations, falls into messages: the sentences of its lines and of its paragraphs. Messages are masked
     and grouped by exact hash over all documents and sources; each distinct one is classified once, by rules for placeholders and
     phrases. What people also write counts only if the same message stands in RECUR_DOCS documents of RECUR_SOURCES sources.
     Null and empty texts hold nothing; a null source is a source of its own; documents with the same id are one.
@@ -176,7 +178,9 @@ def residue(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str
     ship(df.sparkSession)
     p = df.select(F.col(doc).alias("_d"), F.col(source).cast("string").alias("_s"), masked(prose(F.col(text))).alias("_p"))
     # Lines that are short go with the line before them too: a message may stand one word to a line.
-    parts = F.concat(F.split("_p", _ENDS), F.split(F.regexp_replace("_p", r"\s*\n\s*(?=[^\n]{0,24}(?:\n|\z))", " "), _ENDS))
+    # So do all lines of a paragraph, except items of lists: a sentence may be wrapped anywhere.
+    joined = (F.regexp_replace("_p", p, " ") for p in (r"\s*\n\s*(?=[^\n]{0,24}(?:\n|\z))", _WRAPS))
+    parts = F.concat(F.split("_p", _ENDS), *(F.split(j, _ENDS) for j in joined))
     words = p.select("_d", "_s", F.explode(F.array_distinct(F.transform(parts, F.trim))).alias("_m")).where(F.length("_m") >= 3)
     words = written(words.withColumn("_h", F.xxhash64("_m")), "messages")  # texts are taken apart once
     # How far each message spreads: first within a source, then over sources, so that a message in a third of all documents is summed before it moves.
