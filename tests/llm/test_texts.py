@@ -238,3 +238,9 @@ def test_wrapped_sentences_are_messages(spark):
     good = ["Things that I had to enable\n\nJavaScript in the browser of that old laptop there", "What they told me to enable\n- JavaScript in the browser of that old laptop there", "What they told me to enable\n \n \nJavaScript in the browser of that old laptop there"]
     df = spark.createDataFrame([(i, t, "s1") for i, t in enumerate(bad + good)], "doc_id long, text string, source string")
     assert sorted(r["doc_id"] for r in residue(df).collect()) == [0, 1, 2]
+
+
+def test_plan_of_few_containers_uses_the_program():
+    # The largest that fits first takes 23 and 36.
+    for size, count, cap, most in (([44, 34, 22], [20, 20, 20], 100, 20), ([17, 23, 27, 31, 54], [18, 28, 9, 35, 16], 100, 33)):
+        assert sum(n for _, _, n in plan(np.array(size), np.array(count), cap)) <= most

@@ -73,16 +73,21 @@ def plan(size: np.ndarray, count: np.ndarray, capacity: int, rounds: int = ROUND
     """Whole containers for all items: (sizes, how many of each, containers filled so), rounded from the linear program.
 
     Each configuration is used for its share of the containers. Where a size runs out, what is left of the configuration is filled up from the
-    largest remaining size that fits; so is the rest after the last one. The result has at most some entries for each size and round, whatever the number of items.
+    largest remaining size that fits; so is the rest after the last one. If filling all containers that way takes fewer, that is the plan. The result has at most some entries for each size and round, whatever the number of items.
     """
     order = np.argsort(-size)
     size, count = size[order].astype(np.int64), count[order].astype(np.int64)
+    least = int(np.ceil(size @ count / capacity)) if len(size) else 0
+    shares = [(c, (t + 1) * least // rounds - t * least // rounds) for t, c in enumerate(configurations(size, count, capacity, rounds) if least else [])]
+    # With few containers most shares are below one, and rounding may cost more than the program gains.
+    return min((_fill(todo, size, count, capacity) for todo in (shares, [])), key=lambda p: sum(n for _, _, n in p))
+
+
+def _fill(shares: list[tuple[np.ndarray, int]], size: np.ndarray, count: np.ndarray, capacity: int) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """The containers of each configuration, filled up, then those of what is left; sizes descend."""
     left = count.copy()
     out: list[tuple[np.ndarray, np.ndarray, int]] = []
-    least = int(np.ceil(size @ count / capacity)) if len(size) else 0
-    many = least > 4 * rounds  # for a few containers there are no shares to round
-    todo: list[tuple[np.ndarray | None, int]] = [(c, least // rounds) for c in configurations(size, count, capacity, rounds)] if many else []
-    todo.append((None, 1 << 62))
+    todo: list[tuple[np.ndarray | None, int]] = [*shares, (None, 1 << 62)]
     for start, copies in todo:
         while copies > 0 and left.any():
             take = np.minimum(start, left) if start is not None else np.zeros_like(left)
