@@ -244,3 +244,12 @@ def test_plan_of_few_containers_uses_the_program():
     # The largest that fits first takes 23 and 36.
     for size, count, cap, most in (([44, 34, 22], [20, 20, 20], 100, 20), ([17, 23, 27, 31, 54], [18, 28, 9, 35, 16], 100, 33)):
         assert sum(n for _, _, n in plan(np.array(size), np.array(count), cap)) <= most
+
+
+def test_mix_refuses_more_targets_than_it_reads(spark, monkeypatch):
+    monkeypatch.setattr("tidemark.llm.mixing.LEAVES", 2)
+    docs = spark.createDataFrame([(1, "a", "en", 5), (2, "b", "en", 5)], "doc_id long, source string, lang string, tokens long")
+    targets = "source string, target_share double, max_repeats int"
+    assert mix(docs, spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], targets)).count() == 2
+    with pytest.raises(ValueError, match="targets"):
+        mix(docs, spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1), ("c", 0.1, 1)], targets))

@@ -86,7 +86,10 @@ def mix(df: DataFrame, targets: DataFrame, *, levels: Sequence[str] = ("source",
     """
     levels = list(levels)
     docs = df.select(F.col(ident).alias("_i"), *(F.col(c).cast("string").alias(f"_l{i}") for i, c in enumerate(levels)), F.greatest(F.coalesce(F.col(tokens).cast("long"), F.lit(0)), F.lit(0)).alias("_t"))
-    goal = {r[0]: (float(r[1] or 0), int(1 if r[2] is None else r[2])) for r in targets.select(levels[0], share, repeats).limit(LEAVES).collect() if r[0] is not None}
+    wants = targets.select(levels[0], share, repeats).limit(LEAVES + 1).collect()
+    if len(wants) > LEAVES:
+        raise ValueError(f"there are more than {LEAVES} targets")
+    goal = {r[0]: (float(r[1] or 0), int(1 if r[2] is None else r[2])) for r in wants if r[0] is not None}
     names = [f"_l{i}" for i in range(len(levels))]
     leaves = docs.groupBy(*names).agg(F.sum("_t").alias("_s"), F.count("*").alias("_n")).limit(LEAVES + 1).collect()
     if len(leaves) > LEAVES:
