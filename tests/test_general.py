@@ -180,3 +180,18 @@ def test_sparse_part_leaves_spikes_and_takes_rhythm():
     m[4, 10] += 40
     rest = sparse_part(m, np.ones_like(m, bool))
     assert abs(rest[4, 10]) > 30 and np.abs(np.delete(rest.ravel(), 4 * 24 + 10)).max() < 13
+
+
+def test_implausible_in_a_source_stuck_most_of_the_time(spark):
+    step = 3_600_000
+    t, v = wave(600, step, 3)
+    v = v.copy()
+    v[50] += 80
+    v[200:] = v[200]
+    flat = np.full(600, 7.0)
+    flat[[100, 300, 301, 302, 500]] = 9.0, 8.0, 9.0, 10.0, 9.0  # constant by nature, but for spikes
+    data = [(i, int(a), float(b), 0) for i, x in ((1, v), (2, flat)) for a, b in zip(t, x)]
+    src = spark.createDataFrame([(i, None, None, step, False) for i in (1, 2)], SOURCES)
+    got = {(r[0], r[1] // step - int(t[0]) // step): r[3] for r in rows(implausible(spark.createDataFrame(data, SAMPLES), src))}
+    assert {i for (e, i), k in got.items() if e == 1 and k == "stuck"} == set(range(200, 600)) and got[(1, 50)] == "spike"
+    assert {k for (e, _), k in got.items() if e == 2} == {"spike"}

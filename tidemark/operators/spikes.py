@@ -20,15 +20,17 @@ CHUNK_READINGS, CHUNK_DAYS = 1 << 17, 64
 FLUSH = 1 << 19
 #: Readings that a chunk sees of its neighbours; more than the longest context any test needs.
 HALO = 16
+#: Zero changes that a run of 10 or more equal readings counts as: a spike in a constant source has up to four changes, so that spikes alone don't make it one that varies.
+RUN_COUNTS = 4
 #: Bins of the mergeable histogram of changes grow by this factor; a median from it is off by at most half of that.
 GROWTH = 1.01
 
-_PACKED = "_e long, _k long, n long, ts binary, v binary, head binary, tail binary, usual double, moved long, still long, bins array<int>, counts array<long>"
+_PACKED = "_e long, _k long, n long, ts binary, v binary, head binary, tail binary, usual double, moved long, still long, held long, bins array<int>, counts array<long>"
 
 
-def _change_stats(v: np.ndarray, lo: float, hi: float) -> tuple[float, int, int, np.ndarray, np.ndarray]:
+def _change_stats(v: np.ndarray, lo: float, hi: float) -> tuple[float, int, int, int, np.ndarray, np.ndarray]:
     """Of one chunk: median of the nonzero absolute changes, number of nonzero and of zero changes (those of long constant
-    runs left out), and the histogram of the nonzero ones."""
+    runs left out), the zero changes of long runs but for RUN_COUNTS of each, and the histogram of the nonzero ones."""
     ok = v[np.isfinite(v) & (v >= lo) & (v <= hi)]
     d = np.abs(np.diff(ok))
     same = d == 0
@@ -36,14 +38,15 @@ def _change_stats(v: np.ndarray, lo: float, hi: float) -> tuple[float, int, int,
         edge = np.flatnonzero(np.diff(np.concatenate(([0], same.view(np.int8), [0]))))
         length = edge[1::2] - edge[::2]
         still = int(length[length < 9].sum())
+        held = int((length[length >= 9] - RUN_COUNTS).sum())
         d = d[~same]
     else:
-        still = 0
+        still = held = 0
     d = d[d > 0]
     if not len(d):
-        return 0.0, 0, still, np.empty(0, np.int32), np.empty(0, np.int64)
+        return 0.0, 0, still, held, np.empty(0, np.int32), np.empty(0, np.int64)
     bins, counts = np.unique(np.floor(np.log(d) / np.log(GROWTH)).astype(np.int32), return_counts=True)
-    return float(np.median(d)), len(d), still, bins, counts.astype(np.int64)
+    return float(np.median(d)), len(d), still, held, bins, counts.astype(np.int64)
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,8 +72,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts = np.concatenate(([0], np.flatnonzero((e[1:] != e[:-1]) | (k[1:] != k[:-1])) + 1, [len(e)]))
         for a, b in zip(starts[:-1], starts[1:], strict=True):
             tt, vv = t[a:b], v[a:b]
-            usual, moved, still, bins, counts = _change_stats(vv, lo[a], hi[a])
-            out.append((int(e[a]), int(k[a]), int(b - a), tt.tobytes(), vv.tobytes(), tt[:HALO].tobytes() + vv[:HALO].tobytes(), tt[-HALO:].tobytes() + vv[-HALO:].tobytes(), usual, moved, still, bins.tolist(), counts.tolist()))
+            usual, moved, still, stuck, bins, counts = _change_stats(vv, lo[a], hi[a])
+            out.append((int(e[a]), int(k[a]), int(b - a), tt.tobytes(), vv.tobytes(), tt[:HALO].tobytes() + vv[:HALO].tobytes(), tt[-HALO:].tobytes() + vv[-HALO:].tobytes(), usual, moved, still, stuck, bins.tolist(), counts.tolist()))
             held += int(b - a)
             if len(out) >= 1024 or held >= FLUSH:
                 held = 0
@@ -79,8 +82,8 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def flush() -> pa.RecordBatch:
         rows = list(zip(*out, strict=True))
         out.clear()
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
-        names = ["_e", "_k", "n", "ts", "v", "head", "tail", "usual", "moved", "still", "bins", "counts"]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int64())]
+        names = ["_e", "_k", "n", "ts", "v", "head", "tail", "usual", "moved", "still", "held", "bins", "counts"]
         return pa.record_batch([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names)
 
     for b in batches:
@@ -222,7 +225,7 @@ def implausible(df: DataFrame, sources: DataFrame, *, entity: str = "series_id",
     Last write wins as in `latest`.
 
     impossible: NaN, infinite, outside lo..hi. stuck: all of a run of 10 or more equal plausible readings, in a source of which
-    more than half of all changes aren't zero, and of those outside such runs more than four fifths. spike: one to three readings further than ten usual changes from the reading before and
+    more than half of all changes (a long run counting as RUN_COUNTS) aren't zero, and of those outside such runs more than four fifths. spike: one to three readings further than ten usual changes from the reading before and
     the one after, which themselves lie no further apart (a counter: from its course). A source of which at least half of the changes are zero has no
     usual change: any move away that returns to within a tenth of itself is a spike, and no run is stuck.
     Sources may be of any length: a chunk spans at most CHUNK_DAYS and about CHUNK_READINGS; a chunk knows the HALO readings on either side, however
@@ -246,12 +249,12 @@ def implausible(df: DataFrame, sources: DataFrame, *, entity: str = "series_id",
     order = W.partitionBy("_e").orderBy("_k")
     edges = chunks.select("_e", "_k", "head", "tail", F.count("*").over(W.partitionBy("_e")).alias("_c")).where("_c > 1")
     edges = edges.select("_e", "_k", F.collect_list("tail").over(order.rowsBetween(-HALO, -1)).alias("before"), F.collect_list("head").over(order.rowsBetween(1, HALO)).alias("after"))
-    totals = chunks.groupBy("_e").agg(F.sum("n").alias("_n"), F.sum("moved").alias("moved"), F.sum("still").alias("still"), F.count("*").alias("_c"), F.max("usual").alias("usual"))
+    totals = chunks.groupBy("_e").agg(F.sum("n").alias("_n"), F.sum("moved").alias("moved"), F.sum("still").alias("still"), F.sum("held").alias("held"), F.count("*").alias("_c"), F.max("usual").alias("usual"))
     several = totals.where("_c > 1").select("_e")
     bins = chunks.join(several, "_e", "left_semi").select("_e", F.inline(F.arrays_zip("bins", "counts"))).groupBy("_e", "bins").agg(F.sum("counts").alias("n"))
     cum = bins.withColumns({"upto": F.sum("n").over(W.partitionBy("_e").orderBy("bins")), "all": F.sum("n").over(W.partitionBy("_e"))})
     median = cum.where("2 * upto >= all").groupBy("_e").agg(F.pow(F.lit(GROWTH), F.min("bins") + 0.5).alias("_m"))
-    per = totals.join(median, "_e", "left").join(src, "_e").select("_e", "lo", "hi", "step", "counter", F.when(F.col("moved") * 2 > F.col("_n"), F.coalesce("_m", "usual")).otherwise(0.0).alias("u"), ((F.col("still") * 4 < F.col("moved")) & (F.col("moved") * 2 > F.col("_n"))).alias("varies"))
+    per = totals.join(median, "_e", "left").join(src, "_e").select("_e", "lo", "hi", "step", "counter", F.when(F.col("moved") * 2 > F.col("_n") - F.col("held"), F.coalesce("_m", "usual")).otherwise(0.0).alias("u"), ((F.col("still") * 4 < F.col("moved")) & (F.col("moved") * 2 > F.col("_n") - F.col("held"))).alias("varies"))
     whole = join_checked(chunks.select("_e", "_k", "ts", "v"), per, ["_e"])
     whole = join_checked(whole, edges, ["_e", "_k"], "left", BROADCAST_EDGES)
     found = whole.drop("_k").mapInArrow(_flag, "_e long, _t long, _v double, reason string")
