@@ -43,3 +43,11 @@ def test_equals_sql(spark, name):
     cols = [x[0] for x in cur.description]
     assert sorted(cols) == sorted(df.columns)
     assert compare.key([tuple(r) for r in df.collect()], df.columns) == compare.key(cur.fetchall(), cols)
+
+
+@there
+def test_whole_reverse_scan_is_in_order(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW tags AS SELECT * FROM '{FOLDER}/tags.parquet'")
+    want = con.execute(reference.oracle_sql()["kv_reverse_scan_all"]).fetchall()
+    assert [tuple(r) for r in reference.queries()["kv_reverse_scan_all"](spark, FOLDER).collect()] == want and len(want) > 100

@@ -574,6 +574,12 @@ def kv_reverse_scan(spark: SparkSession, folder: str) -> DataFrame:
     return _text(kv.scan(_entries(spark, folder), reverse=True).limit(100))
 
 
+@query(f"WITH {_KV}, {_last()} SELECT key, value FROM x WHERE type = 1 ORDER BY key DESC")
+def kv_reverse_scan_all(spark: SparkSession, folder: str) -> DataFrame:
+    """All keys, from the end."""
+    return _text(kv.scan(_entries(spark, folder), reverse=True))
+
+
 @query(f"WITH {_KV}, q AS (SELECT max(seq) // 2 AS pos FROM tags), {_last('WHERE seq <= (SELECT pos FROM q)')} SELECT key, value FROM x WHERE type = 1")
 def kv_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """What a reader sees that began halfway."""
