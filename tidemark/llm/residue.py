@@ -3,22 +3,25 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import join_checked
 from tidemark.session import ship, written
 
-# What is only shown or quoted: fenced and indented code, code in backticks, quoted lines, words in quotation marks.
+# Rules on whole texts: plain strings, one of which stands in any match, the pattern, and what takes its place.
+# What is only shown or quoted: fenced and indented code, code in backticks, quoted lines, words in quotation marks; and tags.
 _SHOWN = (
-    r"(?s)(```|~~~).*?(\1|\z)",
-    r"(?m)^(?: {4}|\t).*$",
-    r"(?s)``.+?``|`[^`]*`",
-    r"(?m)^\s*>(?!>).*$",
-    r"\"[^\"\n]{0,300}\"|“[^”\n]{0,300}”|„[^“”\n]{0,300}[“”]|«\s[^»\n]{0,300}\s»|‹[^›\n]{0,300}›",
+    (("```", "~~~"), r"(?s)(```|~~~).*?(\1|\z)", "\n"),
+    (("    ", "\t"), r"(?m)^(?: {4}|\t).*$", " "),
+    (("`",), r"(?s)``.+?``|`[^`]*`", " "),
+    ((">",), r"(?m)^\s*>(?!>).*$", " "),
+    (("\"", "“", "„", "«", "‹"), r"\"[^\"\n]*+\"|“[^”\n]*+”|„[^“”\n]*+[“”]|«\s[^»\n]*+\s»|‹[^›\n]*+›", " "),
+    (("<",), r"</?[a-zA-Z][a-zA-Z0-9]*(?: [^<>\n]*=[^<>\n]*)?/?>", " "),
 )
 #: Where a message ends: with its line or sentence.
 _ENDS = r"\n|(?<=[.!?])\s+"
@@ -32,16 +35,21 @@ _FILLED = (
     rf"|(?<!\w)__{_PLAIN}__(?!\w)|<(?:your|insert|enter) [^<>\n]{{1,40}}>|«{_PLAIN}»|(?<![\w$])\${_PLAIN}\$(?![\w$])|(?<![\w%])%{_PLAIN}%(?![\w%])|(?<![\w$#{{%\]])\{{\s*{_PLAIN}\s*\}}(?!\}})|(?<=[/.=])\[{_PLAIN}\](?![\](:\[])"
 )
 _PAST = rf"(?:(?!(?=[{{<$#%\[(@_«])(?:{_FILLED}))\S)++"  # possessive: long addresses need no stack
-# What differs between copies of the same message; addresses end where a placeholder begins.
+# What differs between copies of the same message; every digit is 0 by then. Addresses end where a placeholder begins.
 _MASKS = (
-    (rf"(?:https?|ftp)://{_PAST}|www\.{_PAST}|" + r"\b(?!__)\w*+(?:[.+-](?!__)\w*+)*+@(?!__)[\w-]+\.(?!__)[\w.]+\b|\b\d{1,3}(?:\.\d{1,3}){3}\b", "<addr>"),
-    (r"\b\d{4}-\d\d-\d\d(?:[t ]\d\d:\d\d(?::\d\d)?)?\b|\b\d{1,2}[./]\d{1,2}[./]\d{2,4}\b|\b\d{1,2}:\d\d(?::\d\d)?\b", "<date>"),
-    (r"\b(?=[0-9a-f]*\d)(?=[0-9a-f]*[a-f])[0-9a-f]{6,}\b", "<id>"),
-    (r"\d+", "<num>"),
+    (("://", "www."), rf"(?:https?|ftp)://{_PAST}|www\.{_PAST}", "<addr>"),
+    (("@",), r"\b(?!__)\w*+(?:[.+-](?!__)\w*+)*+@(?!__)[\w-]+\.(?!__)[\w.]+\b", "<addr>"),
+    (("0.0", "00.0"), r"\b0{1,3}(?:\.0{1,3}){3}\b", "<addr>"),
+    (("00-00", "0.0", "0/0", "0:00"), r"\b0{4}-00-00(?:[t ]00:00(?::00)?)?\b|\b0{1,2}[./]0{1,2}[./]0{2,4}\b|\b0{1,2}:00(?::00)?\b", "<date>"),
+    (("0",), r"\b(?=[a-f]*0)(?=0*[a-f])[0a-f]{6,}\b", "<id>"),
+    (("0",), r"0+", "<num>"),
+    (("\t", "\r", "\f", "\x0b", "  ", "\u00a0", "\u2000", "\u2001", "\u2002", "\u2003", "\u2004", "\u2005", "\u2006", "\u2007", "\u2008", "\u2009", "\u200a", "\u200b", "\u202f", "\u3000"), _SPACE, " "),
 )
 
-#: A message is widely recurring if its masked form stands in so many documents of so many sources.
-RECUR_DOCS, RECUR_SOURCES = 3, 2
+#: A message is widely recurring if its normal form stands so often, in more than one source.
+RECUR = 3
+#: Notices that are looked for within longer messages at a time; and the least length of one that is, or of what is left of one that was cut off.
+NOTICES, LEAST = 50_000, 15
 
 _NAME = r"[^\W\d_]\w*(?:[ ._-]\w+){0,3}"
 # A name with masks; single brackets, guillemets and dollars also hold references, quotations and formulas ("[note 1]", "$x_1$"), so that marks must be glued there.
@@ -50,7 +58,7 @@ _MARKED = rf"(?:[^\W\d_]|<id>)(?:\w|{_MASK})*(?:[ ._-](?:\w|{_MASK})+){{0,3}}"
 _GLUED = rf"[^\W\d_]{{3}}(?:\w|<num>)*(?:[._-](?:\w|<num>)+){{0,3}}"
 _OPEN = re.compile(
     rf"\{{\{{[^{{}}\n]{{0,80}}\}}\}}|\{{%[^\n]{{0,80}}?%\}}|<%[^\n]{{0,80}}?%>|[$#]\{{\s*{_MARKED}\s*\}}|%\({_MARKED}\)[sdifr]|\[\[\s*{_MARKED}\s*\]\]|\(\(\(\s*{_MARKED}\s*\)\)\)"
-    rf"|@@{_MARKED}@@|(?<!\w)__(?!init__|main__|name__|file__){_MARKED}?__(?!\w)|<(?:your|insert|enter) [^<>\n]{{1,40}}>|\[(?:your|insert|enter|add) [^\[\]\n]{{1,40}}\]|«(?:{_NAME}|{_GLUED})»|(?<![\w$])\$(?:{_NAME}|{_GLUED})\$(?![\w$])|(?<![\w%])%{_MARKED}%(?![\w%])",
+    rf"|@@{_MARKED}@@|(?<!\w)__(?!init__|main__|name__|file__){_MARKED}?__(?!\w)|<(?:your|insert|enter) [^<>\n]{{1,40}}>|\[(?:your|insert|enter|add) [^\[\]\n]{{1,40}}\]|«(?:{_NAME}|{_GLUED})»|(?<![\w$])\$(?:{_NAME}|{_GLUED})\$(?![\w$])|(?<![\w%])%%?{_MARKED}%%?(?![\w%])|<(?:\w+ ){{1,3}}(?:name|date|e-?mail|address|company|title|number|id|amount|city|phone|link|url)>",
     re.I,
 )
 _LOOSE = re.compile(rf"(?<![\w$#{{%\]])\{{\s*{_MARKED}\s*\}}(?!\}})|(?<![\w\[!])\[{_NAME}\](?![\](:\[])", re.I)
@@ -61,11 +69,13 @@ _VOID = re.compile(r"(?<![\w.`])(?:undefined|null|none|nan|nil)(?![\w`])", re.I)
 _DUMMY_WORDS = frozenset("lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split())
 _DUMMY_SHORT = frozenset("do in ad et ut ex ea eu id est non sit sed esse qui sunt".split())
 _ROWS = ("qwertyuiop", "asdfghjkl", "zxcvbnm", "qwertzuiop", "yxcvbnm", "azertyuiop", "qsdfghjklm")
+_KEYS = frozenset(r[i : i + 3] for row in _ROWS for r in (row, row[::-1]) for i in range(len(row) - 2))
 _NONSENSE = frozenset("blah bla yada foo bar baz test abc abcd xyz".split())
+_FILLER_PHRASE = re.compile(r"dummy|placeholder|filler|sample|copy|coming soon|tbd|test post|replaced|write your|type your|goes here|blindtext|platzhalter|fülltext|aquí va|relleno|provisoire|steht|texto")
 _WORD = re.compile(r"[^\W\d_]+")
 _TOKEN = re.compile(r"<num>|[^\W_]+")
 
-# Phrases of messages that stand in for content; matched in lower case, with masks for numbers, dates and identifiers.
+# Phrases of widely recurring messages that stand in for content; in lower case, with masks for numbers, dates and identifiers.
 _PHRASES = re.compile(
     "|".join((
         # filler
@@ -81,113 +91,201 @@ _PHRASES = re.compile(
         r"\berror <num>: |\bhttp <num> / |^\W*<num> (?:-|–|:) (?:the |page|not|bad|internal|service|gateway|forbidden)|\bupstream did not answer\b|\bthe database is not available\b|\btemplate engine (?:out of|failed|error)|\bfatal: .{0,60} on line <num>|\bservidor no (?:está )?disponible\b|\bserveur (?:indisponible|surchargé)\b|\bservice (?:temporarily )?unavailable\b|\bbad gateway\b|\binternal server error\b|\bgateway time-?out\b",
     ))
 )
-# People write these words too: only a message that says nothing else and recurs widely is a site's.
+# People write these words too: only a message that says nothing else is a site's.
 _PERHAPS = re.compile(
     r"\W*(?:error\W*)?(?:<num>\W*)?(?:(?:page |file |object )?not found|(?:access |permission )?(?:is |was )?denied|forbidden|unauthorized|service unavailable|under maintenance|not available|(?:please )?(?:wait|try again)(?: later| <num> \w+| in <num> \w+)?|loading|redirecting|please wait)(?:\W*<num>)?\W*"
 )
 _ABOUT = re.compile(r"\b(?:how|why|does anyone|what is|what does|which|cómo|wie kann|comment)\b[^.?!]*\?")
 
 
-# The first five letters of words, one of which stands in anything that the phrases, or the marks of failed values without a sign of their own, can match.
-_STEMS = frozenset(
-    "dummy place fille sampl examp body here comin tbd ignor repla write type hier blind platz füllt aquí relle ejemp prueb provi rempl exemp faux javas java scrip skrip js cooki brows naveg navig noscr block newer works "
-    "reque intro found encon gefun canno gone remov delet locke moved longe unabl forbi denie restr refus deneg inter verwe verbo again sessi wrong servi maint error erreu fehle serve späte http upstr datab templ fatal unava gatew "
-    "switc turne inval nan objec value undef null none nil permi acces unaut later wait loadi redir avail try".split()
+#: What a site, a server or a script says of itself, in general: a thing of theirs, and its state. Only for short messages that recur, without a word of somebody's own.
+_THINGS = re.compile(
+    r"\b(?:pages?|sites?|websites?|web ?pages?|links?|urls?|domains?|servers?|services?|requests?|connections?|accounts?|sessions?|access|gateways?|resources?|rate limits?|browsers?|networks?|files?|content|captcha|quota|login|verification"
+    r"|seiten?|webseiten?|dienst|anfragen?|verbindung|konto|sitzung|zugriff|zugang|página|páginas|sitio|servidor|servicio|conexión|cuenta|sesión|acceso|solicitud|serveur|connexion|compte|accès|requête"
+    r"|pagina|sito|servizio|connessione|accesso|sessione|richiesta|serviço|conexão|conta|sessão|acesso|pedido|toegang|verbinding|pagina's)\b"
 )
-_SIGNS = re.compile(r"[{\[%$@_«#]|\(\(\(|\((?:null|no value)\)|<(?!num>|addr>|date>|id>)")
-_LEADS = re.compile(r"\W*<num>")
+_STATES = re.compile(
+    r"\b(?:not (?:be )?(?:found|available|exist|reachable|supported|permitted|allowed)|does(?: not|n't) exist|no longer (?:exists?|available)|timed out|time-?out|exceeded|suspended|disabled|deactivated|expired|blocked|banned|denied|forbidden|refused|unavailable|unreachable|offline|overloaded|down for|for sale|broken|redirect(?:ed|ing)|being (?:checked|verified)|checking|verifying|moved permanently"
+    r"|nicht (?:gefunden|verfügbar|erreichbar|erlaubt|gestattet)|abgelaufen|gesperrt|verweigert|überlastet|deaktiviert|no (?:encontrad[ao]|disponible|existe|permitido)|no se (?:ha )?(?:encontr\w+|pudo)|caducad[ao]|expirad[ao]|bloquead[ao]|denegad[ao]|suspendid[ao]|introuvable|indisponible|expirée?|refusée?|bloquée?|suspendue?|interdite?|n'existe (?:pas|plus)"
+    r"|non (?:è stata )?(?:trovat[ao]|disponibile)|scadut[ao]|negat[ao]|bloccat[ao]|sospes[ao]|não (?:foi )?(?:encontrad[ao]|disponível|existe)|negado|suspens[ao]|niet (?:gevonden|beschikbaar)|geweigerd|verlopen)\b"
+)
+#: Words of somebody's own, or of somebody who explains: what has them isn't a site speaking.
+_OWN = re.compile(
+    r"\b(?:i|i'm|i've|me|my|mine|he|she|they|them|until|because|since|when(?:ever)?|if|unless|although|though|but|so|then|sorry|thanks?|works?|worked|fix(?:ed)?|look|use|used|case|same|only|again|still|once|instead|answers?|ich|mein\w*|mir|wenn|weil|aber|dann|bis|yo|mi|me|porque|pero|cuando|si|hasta|je|mon|ma|mes|parce|mais|quand|donc|jusqu\w*|io|mio|perché|eu|meu)\b|\?|:\s*$"
+)
+#: Longest message, in words, that these general rules are for.
+_SHORT = 14
+_SIGNS = re.compile(r"[{\[%$@_«]|\(\(\(|<(?!num>|addr>|date>|id>)")
+_EDGES = " \t\u200b.,;:!*#>|»›•·…-–—"
 
 
-def prose(text: Column) -> Column:
-    """The text without what it only shows or quotes; null counts as empty."""
-    out = F.coalesce(text.cast("string"), F.lit(""))
-    for p in _SHOWN:
-        out = F.regexp_replace(out, p, "\n" if "```" in p else " ")
-    return F.regexp_replace(out, r"</?[a-zA-Z][a-zA-Z0-9]*(?: [^<>\n]*=[^<>\n]*)?/?>", " ")
+def _where(text: Column, signs: tuple[str, ...], pattern: str, to: str) -> Column:
+    """Replaces a pattern where one of the signs stands that any match has: most texts are passed on after a search for plain strings."""
+    there = F.lit(False)
+    for sign in signs:
+        there = there | F.contains(text, F.lit(sign))
+    return F.when(there, F.regexp_replace(text, pattern, to)).otherwise(text)
 
 
-def masked(text: Column) -> Column:
-    """Lower case, numbers, dates, addresses and identifiers masked, white space within lines evened out."""
-    out = F.lower(text)
-    for p, to in _MASKS:
-        out = F.regexp_replace(out, p, to)
-    return F.regexp_replace(out, _SPACE, " ")
+def _steps(df: DataFrame, column: str, rules: tuple) -> DataFrame:
+    """Rules one after the other, each on a column of its own, so that a rule's text is made once."""
+    for signs, pattern, to in rules:
+        df = df.withColumn(column, _where(F.col(column), signs, pattern, to))
+    return df
 
 
-def _mash(word: str) -> bool:
-    return len(word) >= 3 and (len(set(word)) == 1 or any(word in row or word in row[::-1] for row in _ROWS)) or word in _NONSENSE
+def bare(df: DataFrame, column: str) -> DataFrame:
+    """`df` with the prose of a text column: without what it only shows or quotes; in lower case; with numbers, dates, addresses and
+    identifiers masked and white space within lines evened out. Null counts as empty."""
+    out = df.withColumn(column, F.coalesce(F.col(column).cast("string"), F.lit("")))
+    out = _steps(out, column, _SHOWN)
+    out = out.withColumn(column, F.translate(F.lower(column), "123456789", "000000000"))
+    return _steps(out, column, _MASKS)
 
 
-def _has_stem(words: list[str]) -> bool:
-    return not _STEMS.isdisjoint(w[:5] for w in words)
+def _mash(word: str) -> bool:
+    return len(word) >= 3 and (len(set(word)) == 1 or word[:3] in _KEYS and any(word in row or word in row[::-1] for row in _ROWS)) or word in _NONSENSE
 
 
-def kind_of(message: str, recurs: bool) -> str | None:
-    """The kind of residue in one masked message: "template", "filler", "notice" (a site, server or script notice speaks), or None."""
-    words = _WORD.findall(message)
-    stems = _has_stem(words)
+def shape_of(message: str) -> str:
+    """The normal form by which messages are grouped: "<open>" for an open placeholder in it, "<failed>" for values that failed to render, "<dummy>" and
+    "<mash>" for dummy text and keyboard mash, which differ in each copy; else the message without the marks at its ends."""
     if _SIGNS.search(message) and (_OPEN.search(message) or _LOOSE.search(message)):
-        return "template"
-    if (stems or "#" in message or "(" in message) and (_FAILED.search(message) or len(_VOID.findall(message)) >= 2):
-        return "template"
-    dummy = [w for w in words if w in _DUMMY_WORDS]
-    if len(dummy) >= 3 and 2 * len(dummy) >= len(words) and sum(w not in _DUMMY_SHORT for w in dummy) >= 2:
-        return "filler"
+        return "<open>"
+    if ("n" in message or "[" in message or "#" in message) and (_FAILED.search(message) or len(_VOID.findall(message)) >= 2):
+        return "<failed>"
     tokens = _TOKEN.findall(message)
-    run = keys = 0
-    for w in tokens:
-        if not (w == "<num>" and run or _mash(w)):
-            run = keys = 0
-            continue
-        run, keys = run + 1, keys + (w != "<num>" and w not in _NONSENSE)
-        if run >= 4 and keys >= 2 or run == len(tokens) >= 2 and keys:
-            return "filler"
-    if len(tokens) >= 4 and all(w == "<num>" or w in _NONSENSE for w in tokens) and sum(w != "<num>" for w in tokens) >= 2:
-        return "filler"
+    dummy = [w for w in tokens if w in _DUMMY_WORDS]
+    if len(dummy) >= 3:
+        words = _WORD.findall(message)
+        if 2 * len(dummy) >= len(words) and sum(w not in _DUMMY_SHORT for w in dummy) >= 2:
+            return "<dummy>"
+    mash = [w != "<num>" and _mash(w) for w in tokens]
+    if any(mash):
+        run = keys = 0
+        for w, m in zip(tokens, mash, strict=True):
+            if not (w == "<num>" and run or m):
+                run = keys = 0
+                continue
+            run, keys = run + 1, keys + (w != "<num>" and w not in _NONSENSE)
+            if run >= 4 and keys >= 2 or run == len(tokens) >= 2 and keys:
+                return "<mash>"
+        if len(tokens) >= 4 and all(w == "<num>" or w in _NONSENSE for w in tokens) and sum(w != "<num>" for w in tokens) >= 2:
+            return "<mash>"
+        if len(tokens) == 1 and len(tokens[0]) >= 4 and tokens[0] not in _NONSENSE:
+            return "<mash>"
     if len(tokens) >= 5 and len(set(tokens)) <= 3 and max(map(len, tokens)) <= 5:
-        return "filler"
-    if len(tokens) == 1 and len(tokens[0]) >= 4 and tokens[0] not in _NONSENSE and _mash(tokens[0]):
-        return "filler"
-    if not stems and not _LEADS.match(message):
-        return None
-    m = _PHRASES.search(message)
-    if m and not _ABOUT.search(message):
-        return "filler" if m.start() >= 0 and re.search(r"dummy|placeholder|filler|sample|copy|coming soon|tbd|test post|replaced|write your|type your|goes here|blindtext|platzhalter|fülltext|aquí va|relleno|provisoire|steht|texto", m.group(0)) else "notice"
-    if recurs and _PERHAPS.fullmatch(message):
+        return "<mash>"
+    return message.strip(_EDGES)
+
+
+_CLASSES = {"<open>": "template", "<failed>": "template", "<dummy>": "filler", "<mash>": "filler"}
+
+
+def kind_of(shape: str) -> str | None:
+    """The kind of a widely recurring message, given by its normal form: "template", "filler", "notice" (a site, server or script speaks), or None."""
+    if shape in _CLASSES:
+        return _CLASSES[shape]
+    m = _PHRASES.search(shape)
+    if m and not _ABOUT.search(shape) and not shape.endswith("?"):
+        return "filler" if _FILLER_PHRASE.search(m.group(0)) else "notice"
+    if _PERHAPS.fullmatch(shape):
+        return "notice"
+    if len(_WORD.findall(shape)) <= _SHORT and _THINGS.search(shape) and _STATES.search(shape) and not _OWN.search(shape):
         return "notice"
     return None
 
 
-def _classify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for f in frames:
-        kinds = [kind_of(m, r) for m, r in zip(f["msg"], f["recurs"], strict=True)]
-        f = f[["h", "msg"]].assign(kind=kinds)
-        yield f[f["kind"].notna()]
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array([shape_of(m) for m in b.column("msg").to_pylist()], pa.string())], [*b.schema.names, "shape"])
+
+
+def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        kinds = pa.array([kind_of(m) for m in b.column("shape").to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([b.column("shape"), kinds], ["shape", "kind"]).filter(kinds.is_valid())
+
+
+class _Finder:
+    """Known notices within longer messages: whole, between the ends of words and beside no words of somebody's own; or as far as they go where the message was cut off."""
+
+    def __init__(self, notices: dict[str, str]) -> None:
+        import ahocorasick
+
+        self.kinds = notices
+        self.known = sorted(n for n in notices if len(n) >= LEAST and " " in n)
+        self.machine = ahocorasick.Automaton()
+        for n in self.known:
+            self.machine.add_word(n, n)
+        if self.known:
+            self.machine.make_automaton()
+
+    def find(self, message: str) -> str | None:
+        if message in self.kinds:
+            return self.kinds[message]
+        if not self.known or len(message) < LEAST:
+            return None
+        for end, n in self.machine.iter(message):
+            before, after = message[end - len(n) : end - len(n) + 1] if end >= len(n) else "", message[end + 1 : end + 2]
+            if not (before.isalnum() or after.isalnum() or _OWN.search(message[: end - len(n) + 1]) or _OWN.search(message[end + 1 :])):
+                return self.kinds[n]
+        at = 0
+        while 0 <= at <= len(message) - LEAST:
+            rest = message[at:]
+            i = bisect_left(self.known, rest)
+            if i < len(self.known) and self.known[i].startswith(rest) and 2 * len(rest) >= len(self.known[i]):
+                return self.kinds[self.known[i]]
+            at = message.find(" ", at) + 1 or -1
+        return None
+
+
+def _spoken(shapes: DataFrame, notices: DataFrame) -> DataFrame:
+    """(h, kind): messages that are or hold a known one. The notices go to the tasks NOTICES at a time, so that any number of them can be looked for."""
+    parts = -(-notices.count() // NOTICES)
+    found = shapes.where("shape = '<open>'").select("h", F.lit("template").alias("kind"))
+    notices = notices.withColumn("_p", F.pmod(F.xxhash64("shape"), F.lit(parts))) if parts > 1 else notices.withColumn("_p", F.lit(0))
+    for part in range(parts):
+        held = shapes.sparkSession.sparkContext.broadcast({r["shape"]: r["kind"] for r in notices.where(F.col("_p") == part).collect()})
+
+        def look(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
+            finder = _Finder(held.value)
+            for b in batches:
+                kinds = pa.array([finder.find(m) for m in b.column("shape").to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([b.column("h"), kinds], ["h", "kind"]).filter(kinds.is_valid())
+
+        found = found.unionByName(shapes.where("shape <> '<open>'").select("h", "shape").mapInArrow(look, "h long, kind string"))
+    return found.distinct()
 
 
 def residue(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """(doc, kind, message): the documents that hold template residue, filler or a notice in place of content, one row for each
     document and kind, with an example (the first in byte order).
 
-    The prose of a text, without code and quotations, falls into messages: the sentences of its lines and of its paragraphs. Messages are masked
-    and grouped by exact hash over all documents and sources; each distinct one is classified once, by rules for placeholders and
-    phrases. What people also write counts only if the same message stands in RECUR_DOCS documents of RECUR_SOURCES sources.
-    Null and empty texts hold nothing; a null source is a source of its own; documents with the same id are one.
+    The prose of a text, without code and quotations, falls into messages: the sentences of its lines and of its paragraphs. Messages are masked, brought to a
+    normal form (`shape_of`) and grouped by it over all documents and sources. Those that recur widely, RECUR times in more than one source, are
+    classified by rules for placeholders and phrases (`kind_of`). Each message that is one of these, holds it, or is what is left of it
+    where a text was cut off, counts; whatever recurs nowhere doesn't, with one exception: an open placeholder is one wherever it stands.
+
+    Null and empty texts hold nothing; a null source is a source of its own; documents with the same id are one, unless it is null.
     Texts are read to the end, whatever their length. Extra columns are ignored.
     """
     ship(df.sparkSession)
-    p = df.select(F.col(doc).alias("_d"), F.col(source).cast("string").alias("_s"), masked(prose(F.col(text))).alias("_p"))
+    p = bare(df.select(F.col(doc).alias("_d"), F.col(source).cast("string").alias("_s"), F.col(text).alias("_p")), "_p")
     # Lines that are short go with the line before them too: a message may stand one word to a line.
     # So do all lines of a paragraph, except items of lists: a sentence may be wrapped anywhere.
-    joined = (F.regexp_replace("_p", p, " ") for p in (r"\s*\n\s*(?=[^\n]{0,24}(?:\n|\z))", _WRAPS))
-    parts = F.concat(F.split("_p", _ENDS), *(F.split(j, _ENDS) for j in joined))
-    words = p.select("_d", "_s", F.explode(F.array_distinct(F.transform(parts, F.trim))).alias("_m")).where(F.length("_m") >= 3)
-    words = written(words.withColumn("_h", F.xxhash64("_m")), "messages")  # texts are taken apart once
-    # How far each message spreads: first within a source, then over sources, so that a message in a third of all documents is summed before it moves.
-    spread = words.groupBy("_m", "_h", "_s").agg(F.count("*").alias("_n")).groupBy("_m", "_h").agg(F.sum("_n").alias("_n"), F.count("*").alias("_k"))
-    asked = spread.select(F.col("_m").alias("msg"), F.col("_h").alias("h"), ((F.col("_n") >= RECUR_DOCS) & (F.col("_k") >= RECUR_SOURCES)).alias("recurs"))
-    bad = asked.mapInPandas(_classify, "h long, msg string, kind string").dropDuplicates(["h"])
-    hits = join_checked(words.select("_d", "_h"), written(bad.withColumnRenamed("h", "_h"), "residue"), ["_h"])
+    lines = F.contains("_p", F.lit("\n"))
+    joined = (F.when(lines, F.split(F.regexp_replace("_p", j, " "), _ENDS)).otherwise(F.array().cast("array<string>")) for j in (r"\s*\n\s*(?=[^\n]{0,24}(?:\n|\z))", _WRAPS))
+    parts = F.concat(F.split("_p", _ENDS), *joined)
+    words = p.select("_d", "_s", F.explode(F.array_distinct(F.transform(parts, F.trim))).alias("msg")).where("msg <> ''")
+    words = written(words.withColumn("h", F.xxhash64("msg")), "messages")  # texts are taken apart once
+    # How far each message spreads: summed before it moves, so that one in a third of all documents is one row a task. Two sources are told by the least and the greatest.
+    s = F.coalesce(F.concat(F.lit("="), "_s"), F.lit(""))
+    spread = words.groupBy("h", "msg").agg(F.count("*").alias("n"), F.min(s).alias("a"), F.max(s).alias("z"))
+    shapes = written(spread.mapInArrow(_shapes, "h long, msg string, n long, a string, z string, shape string").drop("msg"), "shapes")
+    wide = shapes.where("shape <> '' and shape <> '<open>'").groupBy("shape").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("z").alias("z")).where((F.col("n") >= RECUR) & (F.col("a") < F.col("z")))
+    notices = written(wide.mapInArrow(_kinds, "shape string, kind string"), "notices")
+    hits = join_checked(words.select("_d", "h", "msg"), written(_spoken(shapes, notices), "residue"), ["h"])
     return hits.groupBy(F.col("_d").alias(doc), "kind").agg(F.min("msg").alias("message"))
 
 
