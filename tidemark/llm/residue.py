@@ -27,7 +27,6 @@ _SHOWN = (
 _ENDS = r"\n|(?<=[.!?])\s+"
 #: A line break within a paragraph, before a line that isn't an item of a list.
 _WRAPS = r"(?<!\n) ?\n ?(?! ?(?:\n|[-*+•#|>]|<num>[.)]))"
-_SPACE = r"[\t\r\f\x0b \u00a0\u2000-\u200b\u202f\u3000]+"
 # A placeholder within an address, in lower case; not its percent signs, and brackets only where a part of it begins.
 _PLAIN = r"\p{L}[\w\p{L}]*(?:[ ._-][\w\p{L}]+){0,3}"
 _FILLED = (
@@ -35,16 +34,19 @@ _FILLED = (
     rf"|(?<!\w)__{_PLAIN}__(?!\w)|<(?:your|insert|enter) [^<>\n]{{1,40}}>|«{_PLAIN}»|(?<![\w$])\${_PLAIN}\$(?![\w$])|(?<![\w%])%{_PLAIN}%(?![\w%])|(?<![\w$#{{%\]])\{{\s*{_PLAIN}\s*\}}(?!\}})|(?<=[/.=])\[{_PLAIN}\](?![\](:\[])"
 )
 _PAST = rf"(?:(?!(?=[{{<$#%\[(@_«])(?:{_FILLED}))\S)++"  # possessive: long addresses need no stack
-# What differs between copies of the same message; every digit is 0 by then. Addresses end where a placeholder begins.
+# What differs between copies of the same message; every digit is 0 and every space " " by then. Addresses end where a placeholder begins.
 _MASKS = (
     (("://", "www."), rf"(?:https?|ftp)://{_PAST}|www\.{_PAST}", "<addr>"),
     (("@",), r"\b(?!__)\w*+(?:[.+-](?!__)\w*+)*+@(?!__)[\w-]+\.(?!__)[\w.]+\b", "<addr>"),
-    (("0.0", "00.0"), r"\b0{1,3}(?:\.0{1,3}){3}\b", "<addr>"),
-    (("00-00", "0.0", "0/0", "0:00"), r"\b0{4}-00-00(?:[t ]00:00(?::00)?)?\b|\b0{1,2}[./]0{1,2}[./]0{2,4}\b|\b0{1,2}:00(?::00)?\b", "<date>"),
-    (("0",), r"\b(?=[a-f]*0)(?=0*[a-f])[0a-f]{6,}\b", "<id>"),
-    (("0",), r"0+", "<num>"),
-    (("\t", "\r", "\f", "\x0b", "  ", "\u00a0", "\u2000", "\u2001", "\u2002", "\u2003", "\u2004", "\u2005", "\u2006", "\u2007", "\u2008", "\u2009", "\u200a", "\u200b", "\u202f", "\u3000"), _SPACE, " "),
+    ((".0.", ".00.", ".000."), r"\b0{1,3}(?:\.0{1,3}){3}\b", "<addr>"),
+    (("0000-00-00",), r"\b0000-00-00(?:[t ]00:00(?::00)?)?\b", "<date>"),
+    ((".0.", ".00.", "/0/", "/00/"), r"\b0{1,2}[./]0{1,2}[./]0{2,4}\b", "<date>"),
+    (("0:00",), r"\b0{1,2}:00(?::00)?\b", "<date>"),
+    (("0",), r"\b(?=[a-f]*+0)(?=0*+[a-f])[0a-f]{6,}+\b", "<id>"),
+    (("0",), "0++", "<num>"),
+    (("  ",), "  ++", " "),
 )
+_LIKE = ("123456789\t\r\f\x0b\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u202f\u3000", "0" * 9 + " " * 18)
 
 #: A message is widely recurring if its normal form stands so often, in more than one source.
 RECUR = 3
@@ -63,6 +65,8 @@ _OPEN = re.compile(
 )
 _LOOSE = re.compile(rf"(?<![\w$#{{%\]])\{{\s*{_MARKED}\s*\}}(?!\}})|(?<![\w\[!])\[{_NAME}\](?![\](:\[])", re.I)
 _FAILED = re.compile(r"\[object \w+\]|\binvalid date\b|\(no value\)|\(null\)|#(?:ref|value|name|div/<num>)[!?]|\bnan (?:second|minute|hour|day|week|month|year)s?\b|<no value>", re.I)
+_FAILED_HAVE = ("[object", "invalid date", "(no value)", "(null)", "#", "nan ", "<no value>")  # one of which stands in whatever the pattern matches
+_VOID_HAVE = ("undefined", "null", "none", "nan", "nil")
 _VOID = re.compile(r"(?<![\w.`])(?:undefined|null|none|nan|nil)(?![\w`])", re.I)
 
 # Words of the usual dummy text, keys of a keyboard in rows, and nonsense words.
@@ -139,12 +143,12 @@ def bare(df: DataFrame, column: str) -> DataFrame:
     identifiers masked and white space within lines evened out. Null counts as empty."""
     out = df.withColumn(column, F.coalesce(F.col(column).cast("string"), F.lit("")))
     out = _steps(out, column, _SHOWN)
-    out = out.withColumn(column, F.translate(F.lower(column), "123456789", "000000000"))
+    out = out.withColumn(column, F.translate(F.lower(column), *_LIKE))
     return _steps(out, column, _MASKS)
 
 
 def _mash(word: str) -> bool:
-    return len(word) >= 3 and (len(set(word)) == 1 or word[:3] in _KEYS and any(word in row or word in row[::-1] for row in _ROWS)) or word in _NONSENSE
+    return word in _NONSENSE or len(word) >= 3 and (len(set(word)) == 1 or word[:3] in _KEYS and any(word in row or word in row[::-1] for row in _ROWS))
 
 
 def shape_of(message: str) -> str:
@@ -152,16 +156,16 @@ def shape_of(message: str) -> str:
     "<mash>" for dummy text and keyboard mash, which differ in each copy; else the message without the marks at its ends."""
     if _SIGNS.search(message) and (_OPEN.search(message) or _LOOSE.search(message)):
         return "<open>"
-    if ("n" in message or "[" in message or "#" in message) and (_FAILED.search(message) or len(_VOID.findall(message)) >= 2):
+    if any(w in message for w in _FAILED_HAVE) and _FAILED.search(message) or any(w in message for w in _VOID_HAVE) and len(_VOID.findall(message)) >= 2:
         return "<failed>"
     tokens = _TOKEN.findall(message)
     dummy = [w for w in tokens if w in _DUMMY_WORDS]
-    if len(dummy) >= 3:
+    if len(dummy) >= 3 and 2 * len(dummy) >= len(tokens) - tokens.count("<num>"):
         words = _WORD.findall(message)
         if 2 * len(dummy) >= len(words) and sum(w not in _DUMMY_SHORT for w in dummy) >= 2:
             return "<dummy>"
-    mash = [w != "<num>" and _mash(w) for w in tokens]
-    if any(mash):
+    if any(w[:3] in _KEYS or w in _NONSENSE or w[:1] * 3 == w[:3] for w in tokens):
+        mash = [w != "<num>" and _mash(w) for w in tokens]
         run = keys = 0
         for w, m in zip(tokens, mash, strict=True):
             if not (w == "<num>" and run or m):
@@ -172,7 +176,7 @@ def shape_of(message: str) -> str:
                 return "<mash>"
         if len(tokens) >= 4 and all(w == "<num>" or w in _NONSENSE for w in tokens) and sum(w != "<num>" for w in tokens) >= 2:
             return "<mash>"
-        if len(tokens) == 1 and len(tokens[0]) >= 4 and tokens[0] not in _NONSENSE:
+        if len(tokens) == 1 and len(tokens[0]) >= 4 and mash[0] and tokens[0] not in _NONSENSE:
             return "<mash>"
     if len(tokens) >= 5 and len(set(tokens)) <= 3 and max(map(len, tokens)) <= 5:
         return "<mash>"
@@ -274,9 +278,9 @@ def residue(df: DataFrame, doc: str = "doc_id", text: str = "text", source: str
     p = bare(df.select(F.col(doc).alias("_d"), F.col(source).cast("string").alias("_s"), F.col(text).alias("_p")), "_p")
     # Lines that are short go with the line before them too: a message may stand one word to a line.
     # So do all lines of a paragraph, except items of lists: a sentence may be wrapped anywhere.
-    lines = F.contains("_p", F.lit("\n"))
-    joined = (F.when(lines, F.split(F.regexp_replace("_p", j, " "), _ENDS)).otherwise(F.array().cast("array<string>")) for j in (r"\s*\n\s*(?=[^\n]{0,24}(?:\n|\z))", _WRAPS))
-    parts = F.concat(F.split("_p", _ENDS), *joined)
+    none = F.array().cast("array<string>")
+    p = p.withColumns({f"_j{i}": F.when(F.contains("_p", F.lit("\n")), F.regexp_replace("_p", j, " ")) for i, j in enumerate((r"\s*\n\s*(?=[^\n]{0,24}(?:\n|\z))", _WRAPS))})
+    parts = F.concat(F.split("_p", _ENDS), *(F.when(F.col(j) != F.col("_p"), F.split(j, _ENDS)).otherwise(none) for j in ("_j0", "_j1")))
     words = p.select("_d", "_s", F.explode(F.array_distinct(F.transform(parts, F.trim))).alias("msg")).where("msg <> ''")
     words = written(words.withColumn("h", F.xxhash64("msg")), "messages")  # texts are taken apart once
     # How far each message spreads: summed before it moves, so that one in a third of all documents is one row a task. Two sources are told by the least and the greatest.
