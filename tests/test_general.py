@@ -195,3 +195,35 @@ def test_implausible_in_a_source_stuck_most_of_the_time(spark):
     got = {(r[0], r[1] // step - int(t[0]) // step): r[3] for r in rows(implausible(spark.createDataFrame(data, SAMPLES), src))}
     assert {i for (e, i), k in got.items() if e == 1 and k == "stuck"} == set(range(200, 600)) and got[(1, 50)] == "spike"
     assert {k for (e, _), k in got.items() if e == 2} == {"spike"}
+
+
+def test_spikes_rest_on_the_components(spark, monkeypatch):
+    import tidemark.operators.spikes as s
+
+    t, v = wave(600, 3_600_000, 5)
+    v = v.copy()
+    v[[60, 200, 201, 420]] += 30
+    args = (t, v, False, -np.inf, np.inf, 3_600_000, float(np.median(np.abs(np.diff(v)))), True)
+    assert set(np.flatnonzero(s.flag_chunk(*args))) == {60, 200, 201, 420}
+    for t_day, v_day in ((t[192:216], v[192:216]),):  # a single day has its components too
+        assert set(np.flatnonzero(s.flag_chunk(t_day, v_day, *args[2:]))) == {8, 9}
+    monkeypatch.setattr(s, "sparse_part", lambda m, seen: m)
+    assert not s.flag_chunk(*args).any()
+
+
+def test_a_source_denser_than_its_step_is_cut(spark, monkeypatch):
+    import tidemark.operators.spikes as s
+
+    rng = np.random.default_rng(3)
+    t = np.sort(rng.choice(3_600_000 * 30, 6000, replace=False))
+    v = np.cumsum(rng.normal(0, 1, 6000))
+    v[[1000, 3000, 3001, 5000]] += 400
+    df = spark.createDataFrame([(1, int(a), float(b), 0) for a, b in zip(t, v)], SAMPLES)
+    src = spark.createDataFrame([(1, None, None, 3_600_000, False)], SOURCES)
+    one = sorted(rows(implausible(df, src)))
+    sizes = []
+    kept = s.written
+    monkeypatch.setattr(s, "CHUNK_READINGS", 500)
+    monkeypatch.setattr(s, "written", lambda d, name: (lambda w: (sizes.extend(r[0] for r in w.select("n").collect()) if name == "chunks" else None, w)[1])(kept(d, name)))
+    assert sorted(rows(implausible(df, src))) == one and {r[1] for r in one} == set(t[[1000, 3000, 3001, 5000]].tolist())
+    assert len(sizes) >= 11 and max(sizes) <= 550 and sum(sizes) == 6000

@@ -14,7 +14,7 @@ from tidemark.operators.joins import join_checked
 from tidemark.operators.readings import DAY_MS
 from tidemark.session import ship, written
 
-#: Readings that one chunk of a series holds at most if they come at the series' pace; and the days it spans at most.
+#: Readings that one chunk of a series holds, but for what its last bucket of time (1 / CUTS of its span) adds; and the days it spans at most.
 CHUNK_READINGS, CHUNK_DAYS = 1 << 17, 64
 #: Readings in the packed chunks that a task holds before it passes them on.
 FLUSH = 1 << 19
@@ -22,6 +22,10 @@ FLUSH = 1 << 19
 HALO = 16
 #: Zero changes that a run of 10 or more equal readings counts as: a spike in a constant source has up to four changes, so that spikes alone don't make it one that varies.
 RUN_COUNTS = 4
+#: Readings a daily profile is moved by, to either side, for the matrix; and the sparse part, in usual changes, from which a reading is odd.
+REACH, LIMIT = 4, 6.0
+#: Time buckets of a chunk that is cut because it holds too many readings.
+CUTS = 1024
 #: Bins of the mergeable histogram of changes grow by this factor; a median from it is off by at most half of that.
 GROWTH = 1.01
 
@@ -103,44 +107,73 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def sparse_part(m: np.ndarray, seen: np.ndarray, noise: float = 1.4826, limit: float = 5.0, rounds: int = 8) -> np.ndarray:
-    """Robust principal components of a matrix of days x slots: m = low rank + sparse + noise.
+def sparse_part(m: np.ndarray, seen: np.ndarray, rounds: int = 80, close: float = 0.5) -> np.ndarray:
+    """Robust principal components: the sparse part of `m`, what remains when a low-rank part is taken off it.
 
-    Alternates between soft thresholds on the entries (`limit`) and on the singular values (the largest that pure noise of
-    that size would have); cells without a reading take the low-rank part. Returns m less the low-rank part.
+    Principal component pursuit: of all sums of two matrices that give `m`, the one with the least sum of singular values of the first and of absolute entries of the
+    second, these weighted by 1 / sqrt(the longer side); solved with an augmented Lagrangian until no entry is off by more than `close`.
+    Cells that aren't `seen` are free.
     """
-    tau = 1.1 * noise * (np.sqrt(m.shape[0]) + np.sqrt(m.shape[1]))
-    low = np.zeros_like(m)
-    if min(m.shape) < 2:
-        return m
+    rows, cols = m.shape
+    wide, weight = rows <= cols, 1 / np.sqrt(max(rows, cols))
+
+    def powers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        p, v = np.linalg.eigh(x @ x.T if wide else x.T @ x)
+        return np.sqrt(np.maximum(p, 0)), v
+
+    top = powers(m)[0][-1]
+    if not top > 0:
+        return np.zeros_like(m)
+    price, step = m / max(top, np.abs(m).max() / weight), 1.25 / top
+    sparse = low = np.zeros_like(m)
     for _ in range(rounds):
-        rest = m - low
-        dense = np.where(seen, np.clip(rest, -limit, limit) + low, low)
-        wide = dense.shape[0] <= dense.shape[1]
-        a = dense if wide else dense.T
-        power, vectors = np.linalg.eigh(a @ a.T)
-        size = np.sqrt(np.maximum(power, 0))
-        if size[-1] <= tau:
-            low = np.zeros_like(m)
-            break
-        top = size > tau
-        u = vectors[:, top] * ((size[top] - tau) / size[top])
-        new = u @ (vectors[:, top].T @ a)
-        new = new if wide else new.T
-        done = np.max(np.abs(new - low)) < 0.05
-        low = new
-        if done:
+        x = m - sparse + price / step
+        size, v = powers(x)
+        keep = size > 1 / step
+        v, shrunk = v[:, keep], 1 - 1 / (step * size[keep])
+        low = (v * shrunk) @ (v.T @ x) if wide else (x @ v) @ (v * shrunk).T
+        x = m - low + price / step
+        sparse = np.where(seen, np.sign(x) * np.maximum(np.abs(x) - weight / step, 0), x)
+        off = m - low - sparse
+        if np.abs(off).max() < close:
             break
+        price = np.where(seen, price + step * off, 0.0)
+        step *= 1.6
     return m - low
 
 
+def off_course(t: np.ndarray, x: np.ndarray, step: int, reach: int = REACH) -> np.ndarray:
+    """How far each reading lies from the normal behaviour of its source, by robust principal components on its daily profiles.
+
+    The matrix has a row for each day and a column for each time of day, and each day stands in it 2 `reach` + 1 times, moved by -`reach` .. `reach` readings:
+    so a level that drifts or changes for good is part of the profile, even that of a single day, while up to `reach` odd readings are in the minority in every column.
+    A time of day with several readings gives way to the next ones; a source denser than its step has as many columns as its fullest day has readings.
+    """
+    day = t // DAY_MS - t[0] // DAY_MS
+    width = int(max(1, DAY_MS // step, np.unique(day, return_counts=True)[1].max()))
+    # Times in whole columns: the product may not overflow.
+    column = (t % DAY_MS) * width // DAY_MS if width < 1 << 36 else np.arange(len(t)) % width
+    _, day = np.unique(day, return_inverse=True)
+    at, n = day * width + column, np.arange(len(t))
+    at = np.maximum.accumulate(at - n) + n
+    used, at = np.unique(at % width, return_inverse=True)[1], at // width
+    rows, cols = int(at.max()) + 1, int(used.max()) + 1
+    m, seen = np.zeros((2 * reach + 1, rows, cols)), np.zeros((rows, cols), bool)
+    seen[at, used] = True
+    x = x - np.median(x)
+    for k in range(2 * reach + 1):
+        m[k, at, used] = x[np.clip(n + k - reach, 0, len(x) - 1)]
+    shape = (2 * reach + 1) * rows, cols
+    return sparse_part(m.reshape(shape), np.tile(seen, (2 * reach + 1, 1))).reshape(m.shape)[reach, at, used]
+
+
 def flag_chunk(t: np.ndarray, v: np.ndarray, counter: bool, lo: float, hi: float, step: int, usual: float, varies: bool, far: float = 10.0, run: int = 10) -> np.ndarray:
     """The kinds of the readings of a chunk and its neighbours' nearest: 0 none, 1 impossible, 2 stuck, 3 spike."""
     kind = np.zeros(len(v), np.int8)
     ok = np.isfinite(v) & (v >= lo) & (v <= hi)
     kind[~ok] = 1
     at = np.flatnonzero(ok)
-    if len(at) < 2:
+    if len(at) < 3:
         return kind
     x, xt = v[at], t[at]
     same = np.diff(x) == 0
@@ -149,40 +182,39 @@ def flag_chunk(t: np.ndarray, v: np.ndarray, counter: bool, lo: float, hi: float
         for a, b in zip(edge[::2], edge[1::2], strict=True):
             if b - a + 1 >= run:
                 kind[at[a : b + 1]] = 2
-    # Changes in units of the usual one; a counter's less the growth to be expected.
+    # A counter's readings less the growth to be expected.
     if counter:
-        steps = (xt - xt[0]) / step
-        x = x - usual * steps
-    change = np.diff(x, prepend=x[0])
-    moves = np.abs(change[change != 0])
-    # A source that stands still most of the time has no usual change: its least move is large.
-    change = change / (usual if usual > 0 else moves.min() / (2 * far) if len(moves) else 1.0)
-    if not (np.abs(change) > far).any():
+        x = x - usual * ((xt - xt[0]) / step)
+    moves = np.abs(np.diff(x))
+    moves = moves[moves > 0]
+    if not len(moves):
         return kind
-    slots = xt // step
-    per_day = max(1, DAY_MS // step)
-    day = xt // DAY_MS
-    row, col = day - day.min(), slots - day * DAY_MS // step
-    width = int(col.max()) + 1
-    if width > 4 * per_day:
-        row, col, width = np.zeros_like(row), np.arange(len(x)), len(x)
-    cell = (row * width + col).astype(np.int64)
-    m, seen = np.zeros((int(row.max()) + 1) * width), np.zeros((int(row.max()) + 1) * width, bool)
-    order = np.argsort(np.abs(change), kind="stable")
-    m[cell[order]] = change[order]  # the largest change of a slot stays
-    seen[cell] = True
-    low = (m - sparse_part(m.reshape(-1, width), seen.reshape(-1, width)).ravel())[cell]
+    # Levels in units of the usual change. A source that stands still most of the time has none: its least move is large.
+    unit = usual if usual > 0 else moves.min() / (2 * far)
+    with np.errstate(over="ignore"):
+        level = np.clip(x / unit, -1e15, 1e15)
+    rest = np.abs(off_course(xt, level, step))
+    # Large odd readings bend the profile a little for their neighbours: once more without them, and they against the course of the others.
+    near = np.max([np.pad(rest, (REACH + k, REACH - k))[REACH:-REACH] for k in range(-REACH, REACH + 1)], axis=0)
+    first_odd = (rest > LIMIT) & (rest > near / 4)
+    others = np.flatnonzero(~first_odd)
+    if len(others) < len(x) and len(others) > 1:
+        course = level[others] - off_course(xt[others], level[others], step)
+        rest = np.abs(level - np.interp(np.arange(len(x)), others, course))
+    odd = rest > LIMIT
+    # Few odd readings between others that are as usual are a spike; more are a change of level or a silence.
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], odd.view(np.int8), [0]))))
     last = len(x) - 1
-    for i in np.flatnonzero(np.abs(change - low) > 5.0):
-        for k in (1, 2, 3):
-            if i < 1 or i + k > last:
-                break
-            a, b, inside = x[i - 1], x[i + k], x[i : i + k]
+    for first, end in zip(edge[::2], edge[1::2], strict=True):
+        if end - first > 3 or first < 1 or end > last:
+            continue
+        # The exact check: away from both sides, which lie together.
+        for i, j in ((i, j) for i in range(first, end) for j in range(i + 1, end + 1)):
+            a, b, inside = x[i - 1], x[j], x[i:j]
             away = min(np.abs(inside - a).min(), np.abs(inside - b).min())
             if away > far * usual and abs(b - a) <= (far * usual if usual > 0 else away / far):
-                where = at[i : i + k]
+                where = at[i:j]
                 kind[where[kind[where] == 0]] = 3
-                break
     return kind
 
 
@@ -217,6 +249,18 @@ def _flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(np.concatenate(es), pa.int64()), pa.array(np.concatenate(ts), pa.int64()), pa.array(np.concatenate(vs), pa.float64()), pa.array(np.array(names, object)[code - 1], pa.string())], ["_e", "_t", "_v", "reason"])
 
 
+def _cut(rows: DataFrame) -> DataFrame:
+    """Chunks (_e, _k) of more than CHUNK_READINGS rows are cut: a bucket of time (_w / CUTS) goes to the next part, with a `_k` between this and the next chunk's, when those before it make up so many."""
+    full = written(rows.groupBy("_e", "_k").agg(F.count("*").alias("_n")).where(F.col("_n") > CHUNK_READINGS).select("_e", "_k"), "full")
+    if not full.limit(1).count():
+        return rows
+    rows = rows.withColumn("_b", F.floor(F.pmod("_t", F.col("_w")) * F.lit(CUTS) / F.col("_w")).cast("long"))
+    sums = join_checked(rows, full, ["_e", "_k"], "left_semi").groupBy("_e", "_k", "_b").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_e", "_k").orderBy("_b").rowsBetween(W.unboundedPreceding, 0)) - F.col("_n")
+    parts = sums.select("_e", "_k", "_b", F.floor(before / CHUNK_READINGS).cast("long").alias("_p"))
+    return join_checked(rows, written(parts, "parts"), ["_e", "_k", "_b"], "left").withColumn("_k", F.col("_k") + F.least(F.coalesce("_p", F.lit(0)), F.lit(CUTS - 1))).drop("_b", "_p")
+
+
 def implausible(df: DataFrame, sources: DataFrame, *, entity: str = "series_id", time_ms: str = "ts_ms", value: str = "value", seq: str = "seq", lo: str = "lo", hi: str = "hi", step: str = "scrape_ms", counter: str = "counter") -> DataFrame:
     """Readings that can't be right: (entity, time_ms, value, reason), reason "impossible", "stuck" or "spike", the first that holds.
 
@@ -228,11 +272,11 @@ def implausible(df: DataFrame, sources: DataFrame, *, entity: str = "series_id",
     more than half of all changes (a long run counting as RUN_COUNTS) aren't zero, and of those outside such runs more than four fifths. spike: one to three readings further than ten usual changes from the reading before and
     the one after, which themselves lie no further apart (a counter: from its course). A source of which at least half of the changes are zero has no
     usual change: any move away that returns to within a tenth of itself is a spike, and no run is stuck.
-    Sources may be of any length: a chunk spans at most CHUNK_DAYS and about CHUNK_READINGS; a chunk knows the HALO readings on either side, however
+    Sources may be of any length and density: a chunk spans at most CHUNK_DAYS and about CHUNK_READINGS; a chunk knows the HALO readings on either side, however
     far away, and its source's usual change, the median nonzero change, from all its chunks (exact for one chunk, else from a histogram, to 1 %).
 
-    Changes, in units of the usual one, form a matrix of days x time of day for each chunk; robust principal components take the
-    recurring pattern off. What remains large is tested against the definition of a spike.
+    Spikes are found by robust principal components on the daily profiles of each chunk (`off_course`), in units of the usual change: one to three readings
+    with a sparse part beyond LIMIT, between readings without, are candidates; the definition above is then checked for these. Where the sparse part is small, or large over more readings, no reading is a spike.
     """
     ship(df.sparkSession)
     src = sources.select(F.col(entity).cast("long").alias("_e"), F.coalesce(F.col(lo).cast("double"), F.lit(float("-inf"))).alias("lo"), F.coalesce(F.col(hi).cast("double"), F.lit(float("inf"))).alias("hi"), F.col(step).cast("long").alias("step"), F.coalesce(F.col(counter).cast("boolean"), F.lit(False)).alias("counter")).where("_e is not null and step > 0")
@@ -242,7 +286,8 @@ def implausible(df: DataFrame, sources: DataFrame, *, entity: str = "series_id",
     rows = df.select(F.col(entity).cast("long").alias("_e"), F.col(time_ms).cast("long").alias("_t"), F.col(value).cast("double").alias("_v"), F.coalesce(F.col(seq).cast("long"), F.lit(-(2**63))).alias("_q")).where("_e is not null and _t is not null and _v is not null")
     rows = join_checked(rows, src.drop("counter"), ["_e"])
     span = F.least(F.lit(CHUNK_DAYS * DAY_MS).cast("long"), F.col("step") * CHUNK_READINGS)
-    rows = rows.withColumn("_k", F.floor(F.col("_t") / span).cast("long")).repartition("_e", "_k").sortWithinPartitions("_e", "_k", "_t", "_q", "_v")
+    rows = rows.withColumns({"_w": span, "_k": F.floor(F.col("_t") / span).cast("long") * CUTS})
+    rows = _cut(rows).repartition("_e", "_k").sortWithinPartitions("_e", "_k", "_t", "_q", "_v")
     chunks = written(rows.select("_e", "_k", "_t", "_v", "lo", "hi").mapInArrow(_pack, _PACKED), "chunks")
 
     # Chunks of sources that have several: what lies before and after, and the usual change of the whole source.
