@@ -111,11 +111,11 @@ def sparse_part(m: np.ndarray, seen: np.ndarray, rounds: int = 80, close: float
     """Robust principal components: the sparse part of `m`, what remains when a low-rank part is taken off it.
 
     Principal component pursuit: of all sums of two matrices that give `m`, the one with the least sum of singular values of the first and of absolute entries of the
-    second, these weighted by 1 / sqrt(the longer side); solved with an augmented Lagrangian until no entry is off by more than `close`.
+    second, these weighted by 1 / sqrt(the longer side), and in a row of which only a part is seen by more: 1 / sqrt(that part of the longer side); solved with an augmented Lagrangian until no entry is off by more than `close`.
     Cells that aren't `seen` are free.
     """
     rows, cols = m.shape
-    wide, weight = rows <= cols, 1 / np.sqrt(max(rows, cols))
+    wide, weight = rows <= cols, 1 / np.sqrt(max(rows, cols) * np.maximum(seen.sum(1, keepdims=True), 1) / max(seen.sum(1).max(), 1))
 
     def powers(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         p, v = np.linalg.eigh(x @ x.T if wide else x.T @ x)
@@ -124,7 +124,7 @@ def sparse_part(m: np.ndarray, seen: np.ndarray, rounds: int = 80, close: float
     top = powers(m)[0][-1]
     if not top > 0:
         return np.zeros_like(m)
-    price, step = m / max(top, np.abs(m).max() / weight), 1.25 / top
+    price, step = m / max(top, (np.abs(m) / weight).max()), 1.25 / top
     sparse = low = np.zeros_like(m)
     for _ in range(rounds):
         x = m - sparse + price / step
