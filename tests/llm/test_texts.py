@@ -23,10 +23,10 @@ def rows(df):
 def test_price_is_the_best_filling():
     rng = np.random.default_rng(1)
     for _ in range(20):
-        size, most, profit = rng.integers(1, 9, 4), rng.integers(0, 4, 4), rng.random(4)
-        got = price(profit, size, most, 17)
-        best = max(float(profit @ np.array(c)) for c in np.ndindex(*(most + 1)) if size @ np.array(c) <= 17)
-        assert got @ size <= 17 and (got <= most).all() and profit @ got == pytest.approx(best)
+        size, profit = rng.integers(1, 9, 4), rng.random(4)
+        got, value = price(profit, size, 17)
+        best = max(float(profit @ np.array(c)) for c in np.ndindex(*(17 // size + 1)) if size @ np.array(c) <= 17)
+        assert got @ size <= 17 and profit @ got == pytest.approx(best) == pytest.approx(value)
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -35,13 +35,13 @@ def test_plan_holds_everything(seed):
     cap = int(rng.choice([64, 1024, 4096]))
     x = np.clip(rng.lognormal(3 + seed / 3, 1, 4000).astype(int), 1, cap - 1)
     size, count = np.unique(x, return_counts=True)
-    p = plan(size, count, cap)
+    p, bound_ = plan(size, count, cap)
     held = Counter()
     for s, c, n in p:
         assert n > 0 and s @ c <= cap
         held.update({int(a): int(b) * n for a, b in zip(s, c)})
     assert held == dict(zip(size.tolist(), count.tolist()))
-    assert sum(n for _, _, n in p) <= 1.12 * np.ceil(x.sum() / cap) + 1 or (x > cap / 2).sum() >= sum(n for _, _, n in p) * 0.6
+    assert x.sum() / cap <= bound_ <= sum(n for _, _, n in p) <= np.ceil(1.001 * bound_)
 
 
 def test_pack_places_every_token_once(spark):
@@ -248,7 +248,42 @@ def test_wrapped_sentences_are_messages(spark):
 def test_plan_of_few_containers_uses_the_program():
     # The largest that fits first takes 23 and 36.
     for size, count, cap, most in (([44, 34, 22], [20, 20, 20], 100, 20), ([17, 23, 27, 31, 54], [18, 28, 9, 35, 16], 100, 33)):
-        assert sum(n for _, _, n in plan(np.array(size), np.array(count), cap)) <= most
+        assert sum(n for _, _, n in plan(np.array(size), np.array(count), cap)[0]) <= most
+
+
+def largest_first(size, count, cap):
+    """Containers of the usual greedy filling, one after the other."""
+    left, n = dict(zip(size, count)), 0
+    while any(left.values()):
+        room = cap
+        for s in sorted(left, reverse=True):
+            k = min(left[s], room // s)
+            left[s], room = left[s] - k, room - k * s
+        n += 1
+    return n
+
+
+@pytest.mark.parametrize("m", [1, 10, 500])
+def test_program_where_the_largest_first_is_far_off(m):
+    # Items above a half and around a quarter; items above a third and a half.
+    for size, count, cap, gain in (([510, 270, 260, 230], [6 * m, 6 * m, 6 * m, 12 * m], 1000, 1.2), ([44, 34, 22], [20 * m, 20 * m, 20 * m], 100, 1.1)):
+        p, least = plan(np.array(size), np.array(count), cap)
+        n = sum(k for _, _, k in p)
+        assert n <= np.ceil(1.01 * least) and largest_first(size, count, cap) >= gain * n
+    for size in (np.arange(1300, 2100), np.array([343, 334, 510, 501, 170, 155]) * 4):
+        count = np.full(len(size), 3 * m)
+        p, least = plan(size, count, 4096)
+        assert least <= sum(k for _, _, k in p) <= 1.001 * largest_first(size.tolist(), count.tolist(), 4096)
+
+
+def test_bound_holds(spark):
+    from tidemark.llm.packing import bound
+
+    df = spark.createDataFrame([(i, 510 if i % 5 < 1 else 230) for i in range(400)] + [(500, 2300), (501, None)], "doc_id long, tokens long")
+    got = bound(df, 1000).first()
+    filled = pack(df, 1000).where("tokens > 0").select("container").distinct().count()
+    assert got["containers"] == filled and got["lower_bound"] <= filled <= np.ceil(1.01 * got["lower_bound"]) and got["items"] == 402 and got["tokens"] == 80 * 510 + 320 * 230 + 2300
+    assert tuple(bound(df.limit(0), 1000).first())[1:] == (0, 0, 0.0, 0, None)
 
 
 def test_mix_refuses_more_targets_than_it_reads(spark, monkeypatch):

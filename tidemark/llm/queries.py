@@ -11,7 +11,7 @@ from tidemark.functions.numbers import significant
 from tidemark.llm.distinct import count_distinct, partial_sets
 from tidemark.llm.frequent import bounds, heavy_hitters, merge, sketch
 from tidemark.llm.mixing import mix, shares
-from tidemark.llm.packing import pack
+from tidemark.llm.packing import bound, pack
 from tidemark.llm.quantiles import partial_counts, percentiles
 from tidemark.llm.residue import residue, without_residue
 from tidemark.llm.tokens import with_tokens
@@ -107,7 +107,9 @@ def _sized(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
-    return pack(_sized(spark, folder), _capacity(spark, folder, "wide")).where("pieces > 1 and piece = 0").select("doc_id")
+    """The documents whose pieces lie in more than one container."""
+    packed = pack(_sized(spark, folder), _capacity(spark, folder, "wide"))
+    return packed.groupBy("doc_id").agg(F.countDistinct("container").alias("n")).where("n > 1").select("doc_id")
 
 
 def p8_wide(spark: SparkSession, folder: str) -> DataFrame:
@@ -118,6 +120,13 @@ def p8_compact(spark: SparkSession, folder: str) -> DataFrame:
     return pack(_sized(spark, folder), _capacity(spark, folder, "compact"))
 
 
+def p8_bound(spark: SparkSession, folder: str) -> DataFrame:
+    """For each class the containers that are filled, and the least number there can be."""
+    sized = _sized(spark, folder)
+    parts = [bound(sized, _capacity(spark, folder, k)).select(F.lit(k).alias("container_class"), "*") for k in ("compact", "wide")]
+    return parts[0].unionByName(parts[1])
+
+
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mix(_sized(spark, folder), table(spark, folder, "mix_targets"))
 
@@ -135,7 +144,7 @@ def p10_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_series, p2_metric, p2_zone, p3_combinations, p3_names, p5_found, p5_bounds, p8_found, p8_wide, p8_compact, p9_mix, p9_shares, p10_found, p10_kept)}
+    return {f.__name__: f for f in (p2_series, p2_metric, p2_zone, p3_combinations, p3_names, p5_found, p5_bounds, p8_found, p8_wide, p8_compact, p8_bound, p9_mix, p9_shares, p10_found, p10_kept)}
 
 
 def _ranked(rows: str, keys: str, on: str) -> str:
