@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.mixing import mix, share_out, shares
+from tidemark.llm.mixing import budgets, mix, shares
 from tidemark.llm.packing import pack, plan, price
 from tidemark.llm import residue as rules
 from tidemark.llm.residue import kind_of, residue, shape_of, without_residue
@@ -74,6 +74,62 @@ def test_pack_places_every_token_once(spark):
         pack(df, 0)
 
 
+def share_out(total, weight, cap):
+    """`total` shared out over the leaves of a tree, given as paths of equal length.
+
+    `weight` has a weight for some of the nodes (paths and their prefixes); nodes without one weigh as much as they hold, beside siblings without one either,
+    and 0 beside siblings with one. `cap` is the most that a leaf can give. A node that can't give its part leaves the shortage to its
+    siblings, in proportion to their weights; what all of them together can't give goes up to their parent's siblings. Siblings without weight or
+    capacity get nothing. If even the whole tree can't give `total`, every leaf of positive weight gives all it has.
+    """
+
+    def give(node, leaves, amount, out):
+        if leaves == [node]:
+            out[node] = amount
+            return
+        kids = {}
+        for leaf in leaves:
+            kids.setdefault(leaf[: len(node) + 1], []).append(leaf)
+        some = any(k in weight for k in kids)
+        w = {k: max(0.0, weight.get(k, 0.0)) if some else limit(k, v) for k, v in kids.items()}
+        most = {k: limit(k, v) for k, v in kids.items()}
+        got = dict.fromkeys(kids, 0.0)
+        open_, rest = {k for k in kids if w[k] > 0 and most[k] > 0}, amount
+        while open_ and rest > 1e-9 * max(1.0, amount):
+            base = sum(w[k] for k in open_)
+            short = {k for k in open_ if got[k] + rest * w[k] / base >= most[k]}
+            if not short:
+                for k in open_:
+                    got[k] += rest * w[k] / base
+                rest = 0.0
+            for k in sorted(short, key=repr):
+                rest -= most[k] - got[k]
+                got[k] = most[k]
+            open_ -= short
+        for k, v in kids.items():
+            give(k, v, got[k], out)
+
+    memo = {}
+
+    def limit(node, leaves):
+        """The most that a node can give, without the leaves that weigh nothing."""
+        if node not in memo:
+            if leaves == [node]:
+                memo[node] = cap[node]
+            else:
+                kids = {}
+                for leaf in leaves:
+                    kids.setdefault(leaf[: len(node) + 1], []).append(leaf)
+                some = any(k in weight for k in kids)
+                memo[node] = sum(limit(k, v) for k, v in kids.items() if not some or weight.get(k, 0.0) > 0)
+        return memo[node]
+
+    out = {}
+    if cap:
+        give((), sorted(cap, key=repr), min(total, limit((), list(cap))), out)
+    return out
+
+
 def test_share_out():
     cap = {("a", "x"): 10.0, ("a", "y"): 100.0, ("b", "x"): 5.0, ("c", "x"): 1000.0, ("d", "x"): 50.0}
     got = share_out(100, {("a",): 0.5, ("b",): 0.3, ("c",): 0.2, ("e",): 0.1}, cap)
@@ -86,35 +142,81 @@ def test_share_out():
     assert share_out(5, {}, {}) == {}
 
 
-MIX = "doc_id long, source string, lang string, tokens long"
+MIX = "doc_id long, domain string, lang string, source string, tokens long"
 TARGETS = "source string, target_share double, max_repeats int"
 
 
+def leaves_of(data, goal, given=None):
+    """Weights of all nodes and capacities of the leaves, by hand."""
+    size = Counter()
+    for *path, t in data:
+        size[tuple(path)] += t
+    own = Counter()
+    for path, n in size.items():
+        own[path[2]] += n
+    cap = {p: float(n * goal[p[2]][1]) for p, n in size.items() if n and p[2] in goal}
+    weight = Counter()
+    for p in cap:
+        for k in (1, 2, 3):
+            weight[p[:k]] += goal[p[2]][0] * size[p] / own[p[2]]
+    for node in weight if given else ():
+        if len(node) == 1:
+            weight[node] = given.get(node[0], 0.0)
+    return size, weight, cap
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_budgets_against_brute_force(spark, seed):
+    rng = np.random.default_rng(seed)
+    pick = lambda *x: x[int(rng.integers(len(x)))]
+    data = [(pick("d1", "d2", "d3", None), pick("en", "de", None), pick("a", "b", "b", "c", "off", None), int(rng.integers(0, 50))) for _ in range(60)]
+    goal = {"a": (0.5, 1), "b": (0.2, 3), "c": (0.3, 2), "none": (0.2, 4)}
+    size, weight, cap = leaves_of(data, goal, {"d1": 3.0, "d2": 1.0} if seed == 3 else None)
+    df = spark.createDataFrame(data, "domain string, lang string, source string, size long").selectExpr("*", "1 as w", "2 as budget", "3 as _l0")
+    targets = spark.createDataFrame([(k, *v) for k, v in goal.items()] + [(None, 0.3, 1), ("off", None, 1)], TARGETS)
+    everything = sum(n for p, n in size.items() if p[2] in goal or p[2] == "off")
+    for total in (None, 100, 10**6):
+        want = {p: b for p, b in share_out(everything if total is None else total, weight, cap).items() if b > 0}
+        got = {tuple(r)[:3]: r["budget"] for r in budgets(df, targets, size="size", total=total, weights={"domain": {"d1": 3.0, "d2": 1.0}} if seed == 3 else None).collect()}
+        assert set(got) == set(want) and all(got[p] == pytest.approx(want[p]) for p in want)
+    assert rows(budgets(df.limit(0), targets, size="size")) == []
+
+
+def test_a_shortage_stays_in_its_domain(spark):
+    data = [("d1", "en", "a", 1000), ("d1", "en", "b", 1000), ("d1", "de", "b", 1000), ("d2", "en", "a", 1000), ("d2", "en", "b", 2000)]
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], TARGETS)
+    frame = lambda x: spark.createDataFrame(x, "domain string, lang string, source string, size long")
+    got = {tuple(r)[:3]: r["budget"] for r in budgets(frame(data), targets, size="size", total=4000, weights={"domain": {"d1": 1.0, "d2": 1.0}}).collect()}
+    by = lambda d: sum(b for p, b in got.items() if p[0] == d)
+    assert by("d1") == pytest.approx(2000) and by("d2") == pytest.approx(2000)
+    short = [x if x[:3] != ("d1", "en", "a") else ("d1", "en", "a", 10) for x in data]
+    less = {tuple(r)[:3]: r["budget"] for r in budgets(frame(short), targets, size="size", total=4000, weights={"domain": {"d1": 1.0, "d2": 1.0}}).collect()}
+    # What a lacks in d1 comes from its siblings there: d2 gives what it gave.
+    assert sum(b for p, b in less.items() if p[0] == "d2") == pytest.approx(2000) and less[("d1", "en", "a")] <= 10 and less[("d1", "en", "b")] > got[("d1", "en", "b")]
+
+
 def test_mix_meets_targets(spark):
     rng = np.random.default_rng(6)
-    data = [(i, s, la, int(rng.integers(1, 200))) for i, (s, la) in enumerate([("a", "en")] * 900 + [("a", None)] * 50 + [("b", "en")] * 60 + [("c", "de")] * 20 + [("off", "en")] * 40 + [(None, "en")] * 10)]
-    data += [(5000, "a", "en", None), (5001, "a", "en", 0), (5001, "a", "en", 0)]
+    data = [(i, d, la, s, int(rng.integers(1, 200))) for i, (d, s, la) in enumerate([("x", "a", "en")] * 500 + [(None, "a", "en")] * 400 + [("x", "a", None)] * 50 + [("y", "b", "en")] * 60 + [("x", "c", "de")] * 20 + [("x", "off", "en")] * 40 + [("x", None, "en")] * 10)]
+    data += [(5000, "x", "en", "a", None), (5001, "x", "en", "a", 0), (5001, "x", "en", "a", 0)]
     df = spark.createDataFrame(data, MIX).selectExpr("*", "1 as copies", "2 as _t")
     targets = spark.createDataFrame([("a", 0.6, 1), ("b", 0.2, 2), ("c", 0.1, None), ("none", 0.1, 5), (None, 0.3, 1)], TARGETS)
     got = mix(df, targets)
     out = rows(got)
     assert sorted(out, key=repr) == sorted(rows(mix(df, targets)), key=repr)
-    size = Counter()
-    for _, s, _, t in data:
-        size[s] += t or 0
+    goal = {"a": (0.6, 1), "b": (0.2, 2), "c": (0.1, 1)}
+    size, weight, cap = leaves_of([(d, la, s, t or 0) for _, d, la, s, t in data], goal)
     by, copies = Counter(), Counter()
-    for _, s, _, c, t in out:
-        by[s] += c * t
+    for _, d, la, s, c, t in out:
+        by[(d, la, s)] += c * t
         copies[s] = max(copies[s], c)
-    assert set(by) == {"a", "b", "c"} and copies["a"] == 1 and copies["b"] <= 2 and copies["c"] == 1
-    total = size["a"] + size["b"] + size["c"]
-    budget = {s: b for (s,), b in share_out(total, {("a",): 0.6, ("b",): 0.2, ("c",): 0.1, ("none",): 0.1}, {("a",): size["a"], ("b",): 2 * size["b"], ("c",): size["c"]}).items()}
-    for s, b in budget.items():
-        assert by[s] <= b + 1e-3 and by[s] > b - 2 * 200
+    assert {p[2] for p in by} == {"a", "b", "c"} and copies["a"] == 1 and copies["b"] <= 2 and copies["c"] == 1
+    for p, b in share_out(sum(n for q, n in size.items() if q[2] in goal), weight, cap).items():
+        assert by[p] <= b + 1e-3 and by[p] > b - 2 * 200
     rep = {r["source"]: r for r in shares(got, targets).where("source is not null").collect()}
-    assert rep["none"]["tokens"] == 0 and rep["a"]["tokens"] == by["a"] and sum(r["actual_share"] for r in rep.values()) == pytest.approx(1)
+    assert rep["none"]["tokens"] == 0 and rep["a"]["tokens"] == sum(n for p, n in by.items() if p[2] == "a") and sum(r["actual_share"] for r in rep.values()) == pytest.approx(1)
     small = mix(df, targets, total=500)
-    assert 0 < sum(c * t for _, _, _, c, t in rows(small)) <= 500.01
+    assert 0 < sum(r["copies"] * r["tokens"] for r in small.collect()) <= 500.01
     assert rows(mix(df.limit(0), targets)) == [] and mix(df, targets, seed=18).exceptAll(got).count() > 0
     assert {r["actual_share"] for r in shares(got.limit(0), targets).collect()} == {None}
 
@@ -122,12 +224,12 @@ def test_mix_meets_targets(spark):
 def test_mix_prefix_is_whole_in_any_ranges(spark, monkeypatch):
     import tidemark.llm.mixing as m
 
-    df = spark.createDataFrame([(i, "a", "en", 1 + i % 7) for i in range(500)], MIX)
+    df = spark.createDataFrame([(i, "d", "en", "a", 1 + i % 7) for i in range(500)], MIX)
     targets = spark.createDataFrame([("a", 1.0, 3)], TARGETS)
-    for ranges in (1, 16, 4096):
+    for ranges in (1, 4096):
         monkeypatch.setattr(m, "RANGES", ranges)
-        tokens = [sum(c * t for *_, c, t in rows(mix(df, targets, total=n))) for n in (1, 900, 1996, 2500, 10**6)]
-        assert all(n - 7 < x <= n for x, n in zip(tokens[1:4], (900, 1996, 2500))) and tokens[4] == 3 * sum(1 + i % 7 for i in range(500)) and tokens[0] <= 1
+        tokens = [sum(r["copies"] * r["tokens"] for r in mix(df, targets, total=n).collect()) for n in (1, 1996, 2500, 10**6)]
+        assert all(n - 7 < x <= n for x, n in zip(tokens[1:3], (1996, 2500))) and tokens[3] == 3 * sum(1 + i % 7 for i in range(500)) and tokens[0] <= 1
 
 
 @needs_vocabulary
@@ -284,12 +386,3 @@ def test_bound_holds(spark):
     filled = pack(df, 1000).where("tokens > 0").select("container").distinct().count()
     assert got["containers"] == filled and got["lower_bound"] <= filled <= np.ceil(1.01 * got["lower_bound"]) and got["items"] == 402 and got["tokens"] == 80 * 510 + 320 * 230 + 2300
     assert tuple(bound(df.limit(0), 1000).first())[1:] == (0, 0, 0.0, 0, None)
-
-
-def test_mix_refuses_more_targets_than_it_reads(spark, monkeypatch):
-    monkeypatch.setattr("tidemark.llm.mixing.LEAVES", 2)
-    docs = spark.createDataFrame([(1, "a", "en", 5), (2, "b", "en", 5)], "doc_id long, source string, lang string, tokens long")
-    targets = "source string, target_share double, max_repeats int"
-    assert mix(docs, spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], targets)).count() == 2
-    with pytest.raises(ValueError, match="targets"):
-        mix(docs, spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1), ("c", 0.1, 1)], targets))

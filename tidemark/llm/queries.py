@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.numbers import significant
 from tidemark.llm.distinct import count_distinct, partial_sets
 from tidemark.llm.frequent import bounds, heavy_hitters, merge, sketch
-from tidemark.llm.mixing import mix, shares
+from tidemark.llm.mixing import budgets, mix, shares
 from tidemark.llm.packing import bound, pack
 from tidemark.llm.quantiles import partial_counts, percentiles
 from tidemark.llm.residue import residue, without_residue
@@ -127,8 +127,23 @@ def p8_bound(spark: SparkSession, folder: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def _domains(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, domain): the domain of a document is the first topic of its thread's question; null without one."""
+    docs = table(spark, folder, "documents")
+    asked = docs.where("topics is not null").select(F.col("doc_id").alias("thread_id"), F.try_element_at("topics", F.lit(1)).alias("domain"))
+    return docs.select("doc_id", "thread_id").join(asked, "thread_id", "left").select("doc_id", "domain")
+
+
 def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
-    return mix(_sized(spark, folder), table(spark, folder, "mix_targets"))
+    docs = _sized(spark, folder).join(_domains(spark, folder), "doc_id")
+    return mix(docs, table(spark, folder, "mix_targets"))
+
+
+def p9_budgets(spark: SparkSession, folder: str) -> DataFrame:
+    """What each leaf of the tree of domains, languages and sources is to give, in characters."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "source", "n_chars").join(_domains(spark, folder), "doc_id")
+    out = budgets(docs, table(spark, folder, "mix_targets"), size="n_chars")
+    return out.select("domain", "lang", "source", "size", F.round("budget").cast("long").alias("budget"))
 
 
 def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,7 +159,7 @@ def p10_kept(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_series, p2_metric, p2_zone, p3_combinations, p3_names, p5_found, p5_bounds, p8_found, p8_wide, p8_compact, p8_bound, p9_mix, p9_shares, p10_found, p10_kept)}
+    return {f.__name__: f for f in (p2_series, p2_metric, p2_zone, p3_combinations, p3_names, p5_found, p5_bounds, p8_found, p8_wide, p8_compact, p8_bound, p9_mix, p9_shares, p9_budgets, p10_found, p10_kept)}
 
 
 def _ranked(rows: str, keys: str, on: str) -> str:
@@ -158,6 +173,23 @@ z AS (SELECT *, {value} AS val FROM v)
 SELECT {keys}, p, CASE WHEN isfinite(val) THEN CAST(printf('%.9e', val * 1.0000000000001) AS DOUBLE) ELSE val END AS value, k AS count FROM z"""
 
 
+def _budgets_sql() -> str:
+    """Three times the same step: the amount of each parent, filled into its children up to their capacities."""
+    sql = """WITH d AS (SELECT q.topics[1] AS domain, x.lang, x.source, x.n_chars FROM documents x LEFT JOIN documents q ON q.doc_id = x.thread_id AND q.topics IS NOT NULL),
+g AS (SELECT domain, lang, source, CAST(sum(n_chars) AS BIGINT) AS size FROM d GROUP BY ALL), n AS (SELECT source, sum(size) AS total FROM g GROUP BY source),
+l0 AS (SELECT g.*, t.target_share * g.size / n.total AS w, CAST(g.size * t.max_repeats AS DOUBLE) AS c FROM g JOIN mix_targets t ON t.source = g.source JOIN n ON n.source = g.source WHERE g.size > 0 AND t.target_share > 0 AND t.max_repeats > 0),
+a0 AS (SELECT least(CAST(sum(g.size) AS DOUBLE), (SELECT sum(c) FROM l0)) AS amount FROM g JOIN mix_targets t ON t.source = g.source)"""
+    keys = ["domain", "lang", "source"]
+    for i in range(1, 4):
+        cols, up = ", ".join(keys[:i]), keys[: i - 1]
+        join = " AND ".join(f"n.{k} IS NOT DISTINCT FROM a.{k}" for k in up) or "true"
+        part = f"PARTITION BY {', '.join(up)}" if up else ""
+        sql += f""", n{i} AS (SELECT {cols}, sum(w) AS w, sum(c) AS c FROM l0 GROUP BY {cols}), m{i} AS (SELECT n.*, a.amount FROM n{i} n JOIN a{i - 1} a ON {join}),
+v{i} AS (SELECT *, (amount - coalesce(sum(c) OVER (b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(w) OVER (b ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lv FROM m{i} WINDOW b AS ({part} ORDER BY c / w, {cols})),
+a{i} AS (SELECT {cols}, least(c, w * max(lv) OVER ({part})) AS amount FROM v{i})"""
+    return sql + " SELECT l.domain, l.lang, l.source, l.size, CAST(round(a.amount) AS BIGINT) AS budget FROM l0 l JOIN a3 a ON a.domain IS NOT DISTINCT FROM l.domain AND a.lang IS NOT DISTINCT FROM l.lang AND a.source = l.source"
+
+
 def oracle_sql() -> dict[str, str]:
     day = "CAST(floor(ts_ms / 86400000.0) AS BIGINT)"
     good = "value IS NOT NULL AND NOT isnan(value)"
@@ -172,5 +204,6 @@ def oracle_sql() -> dict[str, str]:
 r AS (SELECT 'series_id' AS counted, day, zone, build, CAST(series_id AS VARCHAR) AS ident FROM i UNION ALL SELECT t.name, i.day, i.zone, i.build, t.value FROM tags t JOIN i ON i.seq = t.seq WHERE t.name IN ('client', 'trace') AND t.value <> '') {" UNION ALL ".join(levels)}""",
         "p3_names": f"""WITH r AS (SELECT {day} AS day, name, 'value' AS counted, CASE WHEN value <> '' THEN value END AS ident FROM tags WHERE name IS NOT NULL UNION ALL SELECT {day}, name, 'series_id', CAST(series_id AS VARCHAR) FROM tags WHERE name IS NOT NULL)
 SELECT counted, day, name, 'counted+day+name' AS level, count(DISTINCT ident) AS n FROM r WHERE ident IS NOT NULL GROUP BY ALL UNION ALL SELECT counted, CAST(NULL AS BIGINT), name, 'counted+name', count(DISTINCT ident) FROM r WHERE ident IS NOT NULL GROUP BY ALL""",
+        "p9_budgets": _budgets_sql(),
         "p5_found": "SELECT name, value FROM (SELECT name, value, count(*) AS n, sum(count(*)) OVER (PARTITION BY name) AS k FROM tags WHERE value IS NOT NULL AND value <> '' GROUP BY name, value) WHERE n * 100 >= k",
     }
