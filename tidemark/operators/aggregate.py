@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.numbers import exact_sum
 from tidemark.operators.joins import join_checked
 from tidemark.operators.labels import key_by, key_string, key_without, label
 from tidemark.operators.readings import floor_to
@@ -31,9 +32,9 @@ def max_by_bucket(samples: DataFrame, width: int, keys: Sequence[str]) -> DataFr
 
 
 def mean_by_bucket(samples: DataFrame, width: int, keys: Sequence[str]) -> DataFrame:
-    """Mean of the finite values of each bucket; null where there is none."""
+    """Mean of the finite values of each bucket, from exact sums; null where there is none."""
     v = F.col("value")
-    return bucketed(samples, width, keys, F.avg(F.when(~F.isnan(v) & ~v.isin(float("inf"), float("-inf")), v)), "mean_value")
+    return bucketed(samples, width, keys, F.try_divide(exact_sum(v), F.count(F.when(~F.isnan(v) & ~v.isin(float("inf"), float("-inf")), v))), "mean_value")
 
 
 def last_point(samples: DataFrame, keys: Sequence[str] = ("series_id",)) -> DataFrame:

@@ -10,13 +10,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import scalars
 from tidemark.functions.codecs import from_chunks, to_chunks
-from tidemark.functions.numbers import significant
 from tidemark.operators import aggregate as agg
 from tidemark.operators import compaction, kv, postings, tombstones
 from tidemark.operators.labels import as_string, canonical, with_label, without_label
 from tidemark.operators.matchers import AnyOf, Equal, Not, Prefix, Regex, everything
 from tidemark.operators.readings import latest
 from tidemark.operators.select import Store, align_by_labels, chain_stores, merge_stores
+from tidemark.plans.training import double_sql, exact_sql
 from tidemark.session import shared_folder, written
 from tidemark.sources import datasets, loaders
 from tidemark.sources.tables import table
@@ -250,8 +250,7 @@ def series_sorted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _finite_mean(x: str) -> str:
-    return f"CAST(printf('%.9e', avg(CASE WHEN isfinite({x}) THEN {x} END) * 1.0000000000001) AS DOUBLE)"
-
+    return f"{double_sql(f'coalesce(sum({exact_sql(x)}) FILTER (WHERE isfinite({x})), 0)')} / nullif(count(*) FILTER (WHERE isfinite({x})), 0)"
 
 
 @query(f"{_BASE}, k AS (SELECT series_id, '{{' || array_to_string(list_transform(list_sort(list_filter(map_keys(labels), lambda k: k = 'dc' OR k = 'job')), lambda k: k || '=' || labels[k]), ',') || '}}' AS key FROM s) SELECT k.key, count(*) AS n, max(r.ts_ms) AS last_ms FROM r JOIN k ON k.series_id = r.series_id GROUP BY k.key")
@@ -292,7 +291,7 @@ SELECT {_lab('host')} AS host, {_lab('__name__')} AS metric, r.ts_ms - ((r.ts_ms
         span = (END - hours * HOUR, END) if hours else (-(2**63), 2**63 - 1)
         rows = agg.labelled(store.select(matchers, *span), store.series, ["host", "__name__"])
         if mean:
-            return agg.mean_by_bucket(rows, width, ["host", "metric"]).withColumn("mean_value", significant(F.col("mean_value")))
+            return agg.mean_by_bucket(rows, width, ["host", "metric"])
         return agg.max_by_bucket(rows, width, ["host", "metric"])
 
     return run, sql

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import significant
 from tidemark.operators.grid import regular_grid
 from tidemark.operators.intervals import merge_ranges
 from tidemark.operators.readings import one_metric
@@ -26,8 +25,7 @@ def sources(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p1_trailing_totals(spark: SparkSession, folder: str) -> DataFrame:
-    out = rolling_totals(table(spark, folder, "samples"))
-    return out.select("series_id", "day", *(x for n in (7, 30) for x in (significant(F.col(f"sum_{n}")).alias(f"sum_{n}"), significant(F.col(f"mean_{n}")).alias(f"mean_{n}"), F.col(f"count_{n}"), F.col(f"nonfinite_{n}"))))
+    return rolling_totals(table(spark, folder, "samples"))
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -66,15 +64,27 @@ g AS (SELECT *, lead(slot) OVER (PARTITION BY series_id ORDER BY slot) AS nx FRO
 e AS (SELECT series_id, slot, w, value, nx, unnest(range(slot + w, nx, w)) AS slot_ms FROM g WHERE nx > slot + w)"""
 
 
+def exact_sql(v: str) -> str:
+    """A finite double as a whole number in units of 2^-64."""
+    return f"CAST(trunc((CASE WHEN isfinite({v}) THEN {v} ELSE 0.0 END) * 18446744073709551616.0) AS HUGEINT)"
+
+
+def double_sql(total: str) -> str:
+    """The double of a sum of such numbers."""
+    a = f"abs({total})"
+    return f"(CASE WHEN {total} < 0 THEN -1.0 ELSE 1.0 END * (CAST({a} >> 96 AS DOUBLE) * 4294967296.0 + CAST(({a} >> 64) & 4294967295 AS DOUBLE) + (CAST(({a} >> 32) & 4294967295 AS DOUBLE) / 4294967296.0 + CAST({a} & 4294967295 AS DOUBLE) / 18446744073709551616.0)))"
+
+
 def _trailing_sql() -> str:
-    cols = []
+    cols, sums = [], []
     for n in (7, 30):
         over = f"OVER (PARTITION BY series_id ORDER BY day ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
-        cols.append(f"CAST(printf('%.9e', sum(s) {over} * 1.0000000000001) AS DOUBLE) AS sum_{n}, CASE WHEN sum(n) {over} > 0 THEN CAST(printf('%.9e', sum(s) {over} / sum(n) {over} * 1.0000000000001) AS DOUBLE) END AS mean_{n}, CAST(sum(n) {over} AS BIGINT) AS count_{n}, CAST(sum(x) {over} AS BIGINT) AS nonfinite_{n}")
-    return f"""WITH r AS ({_READINGS}), d AS (SELECT series_id, CAST(floor(ts_ms / 86400000.0) AS BIGINT) AS day, coalesce(sum(value) FILTER (WHERE isfinite(value)), 0.0) AS s, count(*) FILTER (WHERE isfinite(value)) AS n, count(*) FILTER (WHERE NOT isfinite(value)) AS x FROM r GROUP BY 1, 2),
+        sums.append(f"CAST(sum(s) {over} AS HUGEINT) AS s{n}, CAST(sum(n) {over} AS BIGINT) AS n{n}, CAST(sum(x) {over} AS BIGINT) AS x{n}")
+        cols.append(f"{double_sql(f's{n}')} AS sum_{n}, CASE WHEN n{n} > 0 THEN {double_sql(f's{n}')} / n{n} END AS mean_{n}, n{n} AS count_{n}, x{n} AS nonfinite_{n}")
+    return f"""WITH r AS ({_READINGS}), d AS (SELECT series_id, CAST(floor(ts_ms / 86400000.0) AS BIGINT) AS day, coalesce(sum({exact_sql('value')}) FILTER (WHERE isfinite(value)), 0) AS s, count(*) FILTER (WHERE isfinite(value)) AS n, count(*) FILTER (WHERE NOT isfinite(value)) AS x FROM r GROUP BY 1, 2),
 g AS (SELECT series_id, unnest(range(min(day), max(day) + 1)) AS day FROM d GROUP BY series_id),
-f AS (SELECT g.series_id, g.day, coalesce(d.s, 0.0) AS s, coalesce(d.n, 0) AS n, coalesce(d.x, 0) AS x FROM g LEFT JOIN d ON g.series_id = d.series_id AND g.day = d.day)
-SELECT series_id, day, {", ".join(cols)} FROM f"""
+f AS (SELECT g.series_id, g.day, coalesce(d.s, 0) AS s, coalesce(d.n, 0) AS n, coalesce(d.x, 0) AS x FROM g LEFT JOIN d ON g.series_id = d.series_id AND g.day = d.day), t AS (SELECT series_id, day, {", ".join(sums)} FROM f)
+SELECT series_id, day, {", ".join(cols)} FROM t"""
 
 
 def oracle_sql() -> dict[str, str]:
