@@ -28,7 +28,19 @@ def test_sql_belongs_to_queries():
 
 @there
 def test_entry(spark):
-    assert entry.entry(spark).columns == ["host", "metric", "bucket_ms", "max_value"]
+    df = entry.entry(spark)
+    assert df.columns == ["host", "metric", "bucket_ms", "max_value"] and df.count() > 20
+
+
+#: Queries that are to give nothing: no matcher, no match, no valid pattern, no such label.
+EMPTY = {"select_no_match", "select_without_matchers", "select_invalid_pattern", "select_regex_other_dialect", "select_parity_unknown_label"}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
+def test_queries_give_rows(spark):
+    """No query is checked by comparing nothing with nothing."""
+    known = {**reference.queries(), **training.queries()}
+    assert {k for k, f in known.items() if f(spark, "/root/testdata/sf0.01").isEmpty()} == EMPTY
 
 
 @there

@@ -1,7 +1,6 @@
 """Matchers, retrieval, labels, deletion, blocks and the ordered map."""
 
 import random
-import re
 
 import numpy as np
 import pytest
@@ -257,6 +256,11 @@ def test_codecs(spark):
     assert rows(codecs.from_chunks(chunks.limit(0))) == []
 
 
-def test_regex_dialect_is_shared():
-    for p in ("a.*", "(x|y)[0-9]+", ".*", "a|b"):
-        assert re.compile(p)
+def test_regex_matches_whole_values_in_the_engines_dialect(spark):
+    cases = {"a.*": ["a", "ab"], "a": ["a"], "(?s)a.*": ["a", "a\n", "ab"], "(?P<n>a)": [], "*": [], "a)|(b": [], r"\p{Lower}": ["a", "b"], "a{0,1}": ["", "a"], "a++": ["a"], "(?x) a # b)": ["a"], "": [""], "a|b": ["a", "b"]}
+    values = ["", "a", "a\n", "ab", "b", "A"]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    for p, want in cases.items():
+        m = Regex("v", p)
+        assert [r[0] for r in df.where(m.test(F.col("v"))).collect()] == want, p
+        assert [v for v in values if m.accepts(v)] == want, p

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.labels import ALL, label
 
 
+def _engine():  # noqa: ANN202
+    """The JVM that runs the patterns."""
+    return SparkSession.getActiveSession().sparkContext._jvm
+
+
 @dataclass(frozen=True)
 class Matcher:
     """A condition on one label's value; a series without the label has the value ''. Subclasses give `test` (a Column) and `accepts` (for one string)."""
@@ -57,22 +63,33 @@ class AnyOf(Matcher):
 
 @dataclass(frozen=True)
 class Regex(Matcher):
-    """The whole value matches the pattern; a pattern that isn't valid matches nothing."""
+    """The whole value matches the pattern, in the dialect of the engine (`java.util.regex`), by which patterns are also checked; one that isn't valid matches nothing."""
 
     pattern: str
 
+    def whole(self) -> str | None:
+        """The pattern for a whole value, null if it isn't valid, by itself and as a group. A comment at its end may not swallow the group's end."""
+        compiler = _engine().java.util.regex.Pattern
+        for end in (")\\z", "\n)\\z"):
+            text = f"\\A(?:{self.pattern}{end}"
+            try:
+                compiler.compile(self.pattern)
+                compiler.compile(text)
+            except (Py4JJavaError, IllegalArgumentException):
+                continue
+            return text
+        return None
+
     def valid(self) -> bool:
-        try:
-            re.compile(self.pattern)
-        except re.error:
-            return False
-        return True
+        return self.whole() is not None
 
     def test(self, value: Column) -> Column:
-        return value.rlike(f"^(?:{self.pattern})$") if self.valid() else F.lit(False)
+        whole = self.whole()
+        return F.lit(False) if whole is None else value.rlike(whole)
 
     def accepts(self, value: str) -> bool:
-        return self.valid() and re.fullmatch(self.pattern, value) is not None
+        whole = self.whole()
+        return whole is not None and bool(_engine().java.util.regex.Pattern.compile(whole).matcher(value).find())
 
 
 @dataclass(frozen=True)
