@@ -135,3 +135,22 @@ def test_numbers_with_a_unit_are_read(spark, tmp_path):
     spark.createDataFrame(data, "series_id long, ts_ms long, seq long, name string, value string").write.parquet(f"{tmp_path}/tags.parquet")
     got = {(r["name"], r["zone"], r["p"]): (r["value"], r["count"]) for r in p2_zone(spark, str(tmp_path)).collect()}
     assert got[("took_ms", "a", 0.5)] == (2.75, 4)
+
+
+def test_a_block_of_very_many_names():
+    import pyarrow as pa
+
+    from tidemark.llm import frequent
+
+    n = 100_000
+    names = [f"1n{i}" for i in range(n)] + ["1n5"] * 10
+    values = ["a"] * n + ["b"] * 10
+    cells = [[(7 * i + r) % frequent.CELLS for i in range(n)] + [(35 + r) % frequent.CELLS] * 10 for r in range(frequent.ROWS)]
+    block = pa.record_batch([names, values, *(pa.array(c, pa.int32()) for c in cells)], ["n", "v", *(f"c{r}" for r in range(frequent.ROWS))])
+    before = pa.total_allocated_bytes()
+    out = list(frequent._partials(frequent.ROWS, frequent.CELLS)(iter([block, block])))
+    rows = [r for b in out for r in b.to_pylist() if r["row"] == 0]
+    # Two blocks make one here; the names held have a row each, the others too, and nothing is lost.
+    assert sum(r["total"] for r in rows) == 2 * (n + 10) and len({r["name"] for r in rows}) == n
+    assert [r for r in rows if r["name"] == "1n5"] == [{"name": "1n5", "row": 0, "cell": 35, "total": 22, "candidate": "b", "votes": 18}]
+    assert pa.total_allocated_bytes() - before < 200_000_000

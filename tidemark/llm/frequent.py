@@ -14,7 +14,7 @@ from tidemark.session import ship, written
 
 #: Hash rows and cells of a row of the sketch of one name. See `sketch` for what they guarantee.
 ROWS, CELLS = 4, 2048
-#: Names whose sketches a task holds; with more it passes its sketches on and begins anew, as sketches merge.
+#: Names whose sketches a task holds; the cells of further ones it passes on after each block, as sketches merge.
 NAMES = 64
 #: Rows that are counted together before they are added to a sketch.
 BLOCK = 400_000
@@ -35,62 +35,73 @@ def _name(key: str) -> Column:
 
 
 class _Sketch:
-    def __init__(self, rows: int, cells: int) -> None:
-        self.total = np.zeros((rows, cells), np.int64)
-        self.votes = np.zeros((rows, cells), np.int64)
-        self.candidate = np.full((rows, cells), None, object)
-
-    def add(self, values: np.ndarray, counts: np.ndarray, at: list[np.ndarray]) -> None:
-        """Adds distinct values with their counts; at[r]: their cells in row r."""
-        for r, c in enumerate(at):
-            order = np.lexsort((counts, c))
-            cs = c[order]
-            last = np.append(cs[1:] != cs[:-1], True)
-            cells, best = cs[last], order[last]
-            total = np.bincount(c, weights=counts, minlength=self.total.shape[1])[cells].astype(np.int64)
-            surplus = np.maximum(0, 2 * counts[best] - total)
-            held, theirs = self.votes[r, cells], values[best]
-            same = self.candidate[r, cells] == theirs
-            self.votes[r, cells] = np.where(same, held + surplus, np.abs(held - surplus))
-            self.candidate[r, cells] = np.where(same | (held >= surplus) & (held > 0), self.candidate[r, cells], theirs)
-            self.total[r, cells] += total
+    """The cells of one row of the sketch of one name."""
+
+    def __init__(self, cells: int) -> None:
+        self.total, self.votes = np.zeros(cells, np.int64), np.zeros(cells, np.int64)
+        self.candidate = np.full(cells, None, object)
+
+    def add(self, cells: np.ndarray, total: np.ndarray, theirs: np.ndarray, surplus: np.ndarray) -> None:
+        """Merges cells of another sketch, each once, by vote cancellation."""
+        held, mine = self.votes[cells], self.candidate[cells]
+        same = mine == theirs
+        self.votes[cells] = np.where(same, held + surplus, np.abs(held - surplus))
+        self.candidate[cells] = np.where(same | (held >= surplus) & (held > 0), mine, theirs)
+        self.total[cells] += total
 
 
 def _partials(rows: int, cells: int):  # noqa: ANN202
+    names_out = ["name", "row", "cell", "total", "candidate", "votes"]
+
+    def batch(names: np.ndarray, row: int, at: np.ndarray, total: np.ndarray, candidate: np.ndarray, votes: np.ndarray) -> pa.RecordBatch:
+        return pa.record_batch([pa.array(names, pa.string()), pa.array(np.full(len(at), row), pa.int32()), pa.array(at, pa.int32()), pa.array(total, pa.int64()), pa.array(candidate, pa.string()), pa.array(votes, pa.int64())], names_out)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, _Sketch] = {}
+        held: dict[str, list[_Sketch]] = {}
         block: list[pa.RecordBatch] = []
         size = 0
 
-        def close() -> None:
+        def close() -> Iterator[pa.RecordBatch]:
+            """The cells of a block of rows, of all its names at once; those of names that are held are merged, the others passed on."""
             counts = pa.Table.from_batches(block).group_by(["n", "v"]).aggregate([("v", "count"), *((f"c{r}", "min") for r in range(rows))])
-            names = counts["n"].combine_chunks().dictionary_encode()
-            code = names.indices.to_numpy(zero_copy_only=False)
+            code = counts["n"].combine_chunks().dictionary_encode()
+            names, code = code.dictionary.to_numpy(zero_copy_only=False), code.indices.to_numpy(zero_copy_only=False).astype(np.int64)
             values, n = counts["v"].to_numpy(zero_copy_only=False), counts["v_count"].to_numpy()
-            at = [counts[f"c{r}_min"].to_numpy() for r in range(rows)]
-            for i, name in enumerate(names.dictionary.to_pylist()):
-                pick = np.flatnonzero(code == i)
-                held.setdefault(name, _Sketch(rows, cells)).add(values[pick], n[pick], [c[pick] for c in at])
-
-        def emit() -> Iterator[pa.RecordBatch]:
-            for name, s in held.items():
-                for r in range(rows):
-                    c = np.flatnonzero(s.total[r])
-                    if len(c):
-                        yield pa.record_batch([pa.array([name] * len(c), pa.string()), pa.array([r] * len(c), pa.int32()), pa.array(c, pa.int32()), pa.array(s.total[r, c], pa.int64()), pa.array(s.candidate[r, c].tolist(), pa.string()), pa.array(s.votes[r, c], pa.int64())], ["name", "row", "cell", "total", "candidate", "votes"])
-            held.clear()
+            for name in names:
+                if len(held) >= NAMES:
+                    break
+                if name not in held:
+                    held[name] = [_Sketch(cells) for _ in range(rows)]
+            for r in range(rows):
+                key = code * cells + counts[f"c{r}_min"].to_numpy()
+                order = np.lexsort((n, key))
+                key = key[order]
+                first = np.flatnonzero(np.diff(key, prepend=-1))
+                last = np.append(first[1:], len(key)) - 1
+                total, best, at = np.add.reduceat(n[order], first), order[last], key[last]
+                surplus = np.maximum(0, 2 * n[best] - total)
+                whose, at = at // cells, at % cells
+                edges = np.append(np.flatnonzero(np.diff(whose, prepend=-1)), len(whose))
+                away = np.ones(len(whose), bool)
+                for a, b in zip(edges[:-1], edges[1:], strict=True):
+                    if (mine := held.get(names[whose[a]])) is not None:
+                        mine[r].add(at[a:b], total[a:b], values[best[a:b]], surplus[a:b])
+                        away[a:b] = False
+                if away.any():
+                    yield batch(names[whose[away]], r, at[away], total[away], values[best[away]], surplus[away])
 
         for b in batches:
             block.append(b)
             size += b.num_rows
             if size >= BLOCK:
-                close()
+                yield from close()
                 block, size = [], 0
-                if len(held) > NAMES:
-                    yield from emit()
         if block:
-            close()
-        yield from emit()
+            yield from close()
+        for name, sketches in held.items():
+            for r, x in enumerate(sketches):
+                if len(c := np.flatnonzero(x.total)):
+                    yield batch(np.full(len(c), name, object), r, c, x.total[c], x.candidate[c], x.votes[c])
 
     return run
 
@@ -99,7 +110,7 @@ def sketch(df: DataFrame, name: str = "name", value: str = "value", rows: int =
     """(name, row, cell, total, candidate, votes): partial sketches, one set for each partition of `df`, of any number of rows.
 
     Each cell holds how many rows fell into it, the value that leads, and by how many votes once unequal values have cancelled
-    each other. Rows with a null or empty value count nowhere; a null name is a name. Memory of a task: rows x cells entries for each of about NAMES names.
+    each other. Rows with a null or empty value count nowhere; a null name is a name. Memory of a task: rows x cells entries for each of NAMES names at most, and one block of rows, however many names it has.
     `merge` combines sketches of partitions, days or tables.
     """
     ship(df.sparkSession)
@@ -149,7 +160,7 @@ def heavy_hitters(df: DataFrame, share: float = 0.01, name: str = "name", value:
     doubtful = kept.join(totals.withColumnRenamed("name", "_n"), F.col("name").eqNullSafe(F.col("_n"))).where((F.col("total") - F.col("votes")) / 2 / F.col("rows_of_name") >= share).select(_key(F.col("name")).alias("_k"), "row", F.col("cell").alias("_c"))
     v = F.col(value).cast("string")
     data = df.where(v.isNotNull() & (v != "")).select(_key(F.col(name)).alias("_k"), v.alias("_v"))
-    few = join_checked(data, cand.select(_key(F.col("name")).alias("_k"), F.col("value").alias("_v")), ["_k", "_v"], "left_semi")
+    few = join_checked(data, written(cand.select(_key(F.col("name")).alias("_k"), F.col("value").alias("_v")), "candidates"), ["_k", "_v"], "left_semi")
     counted = few.groupBy("_k", "_v").agg(F.count("*").alias("rows"))
     if doubtful.groupBy("_k").agg(F.countDistinct("row").alias("_r")).where(F.col("_r") == rows).limit(1).count():
         more = data

@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import significant
 from tidemark.llm.distinct import count_distinct, partial_sets
 from tidemark.llm.frequent import bounds, heavy_hitters, merge, sketch
 from tidemark.llm.mixing import budgets, mix, shares
@@ -27,14 +26,10 @@ def _day() -> Column:
     return F.floor(F.col("ts_ms") / 86_400_000).cast("long")
 
 
-def _shown(df: DataFrame) -> DataFrame:
-    return df.withColumn("value", significant(F.col("value")))
-
-
 def p2_series(spark: SparkSession, folder: str) -> DataFrame:
     """Percentiles for each series, from partial counts for each day."""
     rows = table(spark, folder, "samples").where("series_id is not null").withColumn("day", _day())
-    return _shown(percentiles(partial_counts(rows, ["series_id"], "value", "day"), ["series_id"], "value", PROBS))
+    return percentiles(partial_counts(rows, ["series_id"], "value", "day"), ["series_id"], "value", PROBS)
 
 
 def p2_metric(spark: SparkSession, folder: str) -> DataFrame:
@@ -42,7 +37,7 @@ def p2_metric(spark: SparkSession, folder: str) -> DataFrame:
     rows = table(spark, folder, "samples").where("series_id is not null").withColumn("day", _day())
     parts = partial_counts(rows, ["series_id"], "value", "day")
     named = join_checked(parts, one_metric(table(spark, folder, "series")), ["series_id"])
-    return _shown(percentiles(named, ["metric"], "value", PROBS))
+    return percentiles(named, ["metric"], "value", PROBS)
 
 
 #: Numbers as the tags spell them: digits with an optional sign, a point or comma before the decimals, an exponent, the unit "u" behind, and
@@ -56,7 +51,7 @@ def p2_zone(spark: SparkSession, folder: str) -> DataFrame:
     zone = tags.where("name = 'zone' and value <> ''").groupBy("seq").agg(F.max("value").alias("zone"))
     rows = tags.where("name in ('took_ms', 'size_b')").where(F.col("value").rlike(_NUMBER))
     rows = rows.select("seq", "name", F.trim(F.translate("value", ",u", ".")).cast("double").alias("value"), _day().alias("day")).join(zone, "seq", "left")
-    return _shown(percentiles(partial_counts(rows, ["name", "zone"], "value", "day"), ["name", "zone"], "value", PROBS))
+    return percentiles(partial_counts(rows, ["name", "zone"], "value", "day"), ["name", "zone"], "value", PROBS)
 
 
 def p3_combinations(spark: SparkSession, folder: str) -> DataFrame:
@@ -72,7 +67,8 @@ def p3_combinations(spark: SparkSession, folder: str) -> DataFrame:
     def tagged(name: str):  # noqa: ANN202
         return lambda x: F.struct(F.lit(name).alias("counted"), x.alias("ident"))
 
-    inserts = table(spark, folder, "tags").groupBy("seq").agg(
+    alone = F.when(F.col("seq").isNull(), F.xxhash64("series_id", "ts_ms", "name", "value"))  # a row without an insert's number stands for itself
+    inserts = table(spark, folder, "tags").groupBy("seq", alone.alias("alone")).agg(
         F.max("series_id").alias("series_id"), F.max(_day()).alias("day"), F.max(of("zone")).alias("zone"), F.max(of("build")).alias("build"), F.collect_set(of("client")).alias("client"), F.collect_set(of("trace")).alias("trace")
     )
     kinds = F.concat(F.array(F.struct(F.lit("series_id").alias("counted"), F.col("series_id").cast("string").alias("ident"))), *(F.transform(c, tagged(c)) for c in ("client", "trace")))
@@ -162,15 +158,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p2_series, p2_metric, p2_zone, p3_combinations, p3_names, p5_found, p5_bounds, p8_found, p8_wide, p8_compact, p8_bound, p9_mix, p9_shares, p9_budgets, p10_found, p10_kept)}
 
 
-def _ranked(rows: str, keys: str, on: str) -> str:
-    """Exact percentiles by rank; `rows` gives (keys, value)."""
-    probs = ", ".join(f"({p})" for p in PROBS)
+def _ranked(rows: str, keys: str) -> str:
+    """Exact percentiles by rank, from one sorted list a group; `rows` gives (keys, value)."""
     value = "CASE WHEN lo = hi THEN lo WHEN lo = '-infinity' THEN lo WHEN hi = 'infinity' THEN hi ELSE lo + (hi - lo) * (h - floor(h)) END"
-    return f"""WITH x AS ({rows}), o AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY {keys}) AS k FROM x),
-q AS (SELECT CAST(p AS DOUBLE) AS p FROM (VALUES {probs}) AS t(p)), g AS (SELECT DISTINCT {keys}, k FROM o), w AS (SELECT {keys}, k, p, p * (k - 1) AS h FROM g, q),
-v AS (SELECT {", ".join("w." + c for c in keys.split(", "))}, w.k, w.p, w.h, a.value AS lo, b.value AS hi FROM w JOIN o a ON {on.format("a")} AND a.r = floor(w.h) JOIN o b ON {on.format("b")} AND b.r = ceil(w.h)),
-z AS (SELECT *, {value} AS val FROM v)
-SELECT {keys}, p, CASE WHEN isfinite(val) THEN CAST(printf('%.9e', val * 1.0000000000001) AS DOUBLE) ELSE val END AS value, k AS count FROM z"""
+    return f"""WITH x AS ({rows}), o AS (SELECT {keys}, list_sort(list(value)) AS vs, count(*) AS k FROM x GROUP BY {keys}),
+w AS (SELECT {keys}, vs, k, CAST(unnest([{", ".join(map(str, PROBS))}]) AS DOUBLE) AS p FROM o), h AS (SELECT *, p * (k - 1) AS h FROM w),
+v AS (SELECT {keys}, k, p, h, vs[CAST(floor(h) AS BIGINT) + 1] AS lo, vs[CAST(ceil(h) AS BIGINT) + 1] AS hi FROM h)
+SELECT {keys}, p, {value} AS value, k AS count FROM v"""
 
 
 def _budgets_sql() -> str:
@@ -197,9 +191,9 @@ def oracle_sql() -> dict[str, str]:
     for name, zone, build in (("counted+day", 0, 0), ("counted+day+zone", 1, 0), ("counted+day+build", 0, 1), ("counted+day+zone+build", 1, 1)):
         levels.append(f"SELECT counted, day, {'zone' if zone else 'CAST(NULL AS VARCHAR)'} AS zone, {'build' if build else 'CAST(NULL AS VARCHAR)'} AS build, '{name}' AS level, count(DISTINCT ident) AS n FROM r WHERE ident IS NOT NULL GROUP BY ALL")
     return {
-        "p2_series": _ranked(f"SELECT series_id, value + 0.0 AS value FROM samples WHERE series_id IS NOT NULL AND {good}", "series_id", "{0}.series_id = w.series_id"),
-        "p2_metric": _ranked(f"SELECT m.metric, s.value + 0.0 AS value FROM samples s JOIN (SELECT series_id, min(metric) AS metric FROM series WHERE series_id IS NOT NULL AND metric IS NOT NULL GROUP BY series_id) m ON m.series_id = s.series_id WHERE {good.replace('value', 's.value')}", "metric", "{0}.metric = w.metric"),
-        "p2_zone": _ranked("SELECT t.name, z.zone, CAST(replace(trim(t.value), ',', '.') AS DOUBLE) + 0.0 AS value FROM tags t LEFT JOIN (SELECT seq, max(value) AS zone FROM tags WHERE name = 'zone' AND value <> '' GROUP BY seq) z ON z.seq = t.seq WHERE t.name IN ('took_ms', 'size_b') AND regexp_full_match(t.value, ' *[+-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)([eE][+-]?[0-9]+)? *')", "name, zone", "{0}.name = w.name AND {0}.zone IS NOT DISTINCT FROM w.zone"),
+        "p2_series": _ranked(f"SELECT series_id, value + 0.0 AS value FROM samples WHERE series_id IS NOT NULL AND {good}", "series_id"),
+        "p2_metric": _ranked(f"SELECT m.metric, s.value + 0.0 AS value FROM samples s JOIN (SELECT series_id, min(metric) AS metric FROM series WHERE series_id IS NOT NULL AND metric IS NOT NULL GROUP BY series_id) m ON m.series_id = s.series_id WHERE {good.replace('value', 's.value')}", "metric"),
+        "p2_zone": _ranked("SELECT t.name, z.zone, CAST(trim(replace(replace(t.value, ',', '.'), 'u', '')) AS DOUBLE) + 0.0 AS value FROM tags t LEFT JOIN (SELECT seq, max(value) AS zone FROM tags WHERE name = 'zone' AND value <> '' GROUP BY seq) z ON z.seq = t.seq WHERE t.name IN ('took_ms', 'size_b') AND regexp_full_match(t.value, ' *[+-]?([0-9]+([.,][0-9]*)?|[.,][0-9]+)([eE][+-]?[0-9]+)? *u? *')", "name, zone"),
         "p3_combinations": f"""WITH i AS (SELECT seq, max(series_id) AS series_id, max({day}) AS day, max(CASE WHEN name = 'zone' AND value <> '' THEN value END) AS zone, max(CASE WHEN name = 'build' AND value <> '' THEN value END) AS build FROM tags GROUP BY seq),
 r AS (SELECT 'series_id' AS counted, day, zone, build, CAST(series_id AS VARCHAR) AS ident FROM i UNION ALL SELECT t.name, i.day, i.zone, i.build, t.value FROM tags t JOIN i ON i.seq = t.seq WHERE t.name IN ('client', 'trace') AND t.value <> '') {" UNION ALL ".join(levels)}""",
         "p3_names": f"""WITH r AS (SELECT {day} AS day, name, 'value' AS counted, CASE WHEN value <> '' THEN value END AS ident FROM tags WHERE name IS NOT NULL UNION ALL SELECT {day}, name, 'series_id', CAST(series_id AS VARCHAR) FROM tags WHERE name IS NOT NULL)
