@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.joins import join_checked
 from tidemark.operators.readings import floor_to
+from tidemark.session import written
 
 #: Slots of a block: what one task orders at a time, whatever the length of a source.
 BLOCK_SLOTS = 4096
@@ -36,7 +37,7 @@ def regular_grid(df: DataFrame, steps: DataFrame, *, entity: str = "series_id",
     tie = rows.repartition("_e", "_slot").groupBy("_e", "_slot", "_w", "_t", "_q").agg(F.max("_v").alias("_v"), F.count("*").alias("_c"))
     at = tie.groupBy("_e", "_slot", "_w", "_t").agg(F.max_by("_v", "_q").alias("_v"), F.sum("_c").alias("_c"))
     seen = at.groupBy("_e", "_slot", "_w").agg(F.max_by("_v", "_t").alias("_v"), F.sum("_c").alias("_c"))
-    seen = seen.withColumn("_blk", F.floor(F.col("_slot") / F.col("_w") / BLOCK_SLOTS).cast("long"))
+    seen = written(seen.withColumn("_blk", F.floor(F.col("_slot") / F.col("_w") / BLOCK_SLOTS).cast("long")), "slots")  # the readings are gathered once, for the ends of blocks and for the join
 
     # One row a block with readings: its first and last occupied slot, and what was known before it.
     ends = seen.groupBy("_e", "_w", "_blk").agg(F.min("_slot").alias("_lo"), F.max("_slot").alias("_hi"), F.max_by("_v", "_slot").alias("_hv"))
