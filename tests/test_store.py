@@ -264,3 +264,28 @@ def test_regex_matches_whole_values_in_the_engines_dialect(spark):
         m = Regex("v", p)
         assert [r[0] for r in df.where(m.test(F.col("v"))).collect()] == want, p
         assert [v for v in values if m.accepts(v)] == want, p
+
+
+@pytest.mark.parametrize("backward", [False, True])
+def test_before_against_brute_force(spark, backward):
+    from tidemark.operators.prefix import before
+
+    rng = random.Random(4)
+    data = [(rng.choice(["a", "a", "b", None]), rng.randrange(-500, 500), i, rng.choice([None, 1, 5, -3, 7])) for i in range(300)]
+    df = spark.createDataFrame(data, "e string, t long, u long, v long")
+    got = {r["u"]: (r["hi"], r["lo"], r["all"]) for r in before(df, "e", "t", ["u"], {"hi": (F.max, F.col("v")), "lo": (F.min, F.col("v")), "all": (F.sum, F.col("v"))}, chunk=100, backward=backward).collect()}
+    for e, t, u, _ in data:
+        seen = [v for e2, t2, u2, v in data if e2 == e and v is not None and ((t2, u2) > (t, u) if backward else (t2, u2) < (t, u))]
+        assert got[u] == ((max(seen), min(seen), sum(seen)) if seen else (None, None, None))
+    assert before(df.limit(0), "e", "t", [], {"x": (F.max, F.col("v"))}).count() == 0
+
+
+def test_deletion_with_very_many_ranges(spark, monkeypatch):
+    rng = random.Random(6)
+    holes = [(rng.choice([1, 2, None]), a, a + rng.choice([-1, 0, 3, 40])) for a in (rng.randrange(-1000, 1000) for _ in range(150))] + [(3, -(2**63), -5)]
+    data = [(rng.choice([1, 1, 2, 3, 4, None]), rng.choice([rng.randrange(-1100, 1100), None]), float(i), i) for i in range(600)]
+    s, t = spark.createDataFrame(data, "series_id long, ts_ms long, value double, seq long"), spark.createDataFrame(holes, "series_id long, min_t long, max_t long")
+    want = sorted((r for r in data if r[0] is None or r[1] is None or not any(h[0] == r[0] and h[1] <= r[1] <= h[2] for h in holes)), key=repr)
+    for limit in (1000, 0):
+        monkeypatch.setattr(tombstones, "OF_SERIES", limit)
+        assert sorted(rows(tombstones.apply(s, t)), key=repr) == want

@@ -6,10 +6,10 @@ Ranges of blocks are half-open, [min_t, max_t). Rows without a positive length (
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.operators.joins import join_checked
+from tidemark.operators.prefix import before
 from tidemark.operators.readings import floor_to
 from tidemark.operators.select import merge_stores
 from tidemark.operators.tombstones import apply, surviving
@@ -35,15 +35,16 @@ def sorted_blocks(blocks: DataFrame) -> DataFrame:
 def overlap_groups(blocks: DataFrame) -> DataFrame:
     """Blocks that overlap another, with the number of their group (`island`, from 0 for each store, in order of time).
 
-    Groups chain: a block belongs to the group if it starts before the latest end so far. Blocks that touch don't overlap.
+    A store is cut into days of starts (`before`), so that a very large one is no single task. Groups chain: a block belongs to the group if it starts before the latest end so far. Blocks that touch don't overlap.
     """
-    rows = valid(blocks)
-    order = W.partitionBy("store_dir").orderBy(*_KEY)
-    seen = F.max("max_t").over(order.rowsBetween(W.unboundedPreceding, -1))
-    marked = rows.withColumn("_new", F.when(seen.isNull() | (F.col("min_t") >= seen), 1).otherwise(0))
-    chained = marked.withColumn("_i", F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    sized = chained.withColumn("_n", F.count("*").over(W.partitionBy("store_dir", "_i"))).where("_n > 1")
-    return sized.withColumn("island", F.dense_rank().over(W.partitionBy("store_dir").orderBy("_i")) - 1).drop("_new", "_i", "_n")
+    rows = before(valid(blocks), "store_dir", "min_t", ["max_t", "ulid"], {"_seen": (F.max, F.col("max_t"))})
+    new = F.when(F.col("_seen").isNull() | (F.col("min_t") >= F.col("_seen")), 1).otherwise(0)
+    rows = before(rows.withColumn("_new", new), "store_dir", "min_t", ["max_t", "ulid"], {"_i": (F.sum, F.col("_new"))})
+    rows = rows.withColumn("_i", F.coalesce("_i", F.lit(0)) + F.col("_new"))
+    groups = rows.groupBy("store_dir", "_i").agg(F.count("*").alias("_n"), F.min("min_t").alias("_a")).where("_n > 1")
+    numbered = before(groups, "store_dir", "_a", ["_i"], {"island": (F.sum, F.lit(1))})
+    numbered = numbered.select(F.col("store_dir").alias("_s2"), F.col("_i").alias("_i2"), F.coalesce("island", F.lit(0)).alias("island"))
+    return rows.join(numbered, F.col("store_dir").eqNullSafe(F.col("_s2")) & (F.col("_i") == F.col("_i2"))).select(*blocks.columns, "island")
 
 
 def first_overlap(blocks: DataFrame) -> DataFrame:
@@ -63,13 +64,15 @@ def plan(blocks: DataFrame, ranges: list[int], deleted_share: float = 0.05) -> D
     "overlap": its first group of overlapping blocks. Else the newest block is left alone, as it may still be added to, and of the rest: "range": for the
     smallest of `ranges` but the least (new blocks have that), the earliest aligned range with more than one block, none of which failed, that they span
     from end to end or that ends no later than the newest of the rest begins. "tombstones": going back from the newest of the rest as long as blocks are at least as long as the middle
-    one of `ranges`, the first block with more deletions than `deleted_share` of its series. A store without reason has no row.
+    one of `ranges`, the first block with more deletions than `deleted_share` of its series. A store without reason has no row; nor have blocks without a store.
     """
     widths = sorted(ranges)
-    rows = valid(blocks)
+    rows = valid(blocks).where("store_dir is not null")
     overlap = first_overlap(blocks).select("store_dir", "ulid", F.lit(0).alias("_r"), F.lit("overlap").alias("reason"))
-    store = W.partitionBy("store_dir")
-    old = rows.withColumn("_newest", F.max("min_t").over(store)).where("min_t < _newest").withColumn("_high", F.max("min_t").over(store))
+    # The newest start of each store, and the newest of the rest: two numbers a store, from partial aggregates.
+    top = rows.groupBy("store_dir").agg(F.max("min_t").alias("_newest"))
+    old = join_checked(rows, top, ["store_dir"]).where("min_t < _newest")
+    old = join_checked(old, old.groupBy("store_dir").agg(F.max("min_t").alias("_high")), ["store_dir"])
     found = overlap
     for i, width in enumerate(widths[1:], 1):
         held = old.withColumn("_start", floor_to(F.col("min_t"), width)).where(F.col("max_t") <= F.col("_start") + width)
@@ -77,12 +80,13 @@ def plan(blocks: DataFrame, ranges: list[int], deleted_share: float = 0.05) -> D
         fit = group.where("_n > 1 and _f = 0").where((F.col("_b") - F.col("_a") == width) | (F.col("_b") <= F.col("_high")))
         one = fit.groupBy("store_dir").agg(F.min("_start").alias("_start"))
         found = found.unionByName(held.join(one, ["store_dir", "_start"]).select("store_dir", "ulid", F.lit(i).alias("_r"), F.lit("range").alias("reason")))
-    back = store.orderBy(F.col("min_t").desc(), F.col("max_t").desc(), F.col("ulid").desc())
-    shortest = F.min(F.col("max_t") - F.col("min_t")).over(back.rowsBetween(W.unboundedPreceding, 0))
-    cut = old.withColumn("_s", shortest).where((F.col("_s") >= widths[len(widths) // 2]) & (F.col("num_tombstones") > F.lit(deleted_share) * F.col("num_series")))
+    length = F.col("max_t") - F.col("min_t")
+    cut = before(old, "store_dir", "min_t", ["max_t", "ulid"], {"_s": (F.min, length)}, backward=True).withColumn("_s", F.least("_s", length))
+    cut = cut.where((F.col("_s") >= widths[len(widths) // 2]) & (F.col("num_tombstones") > F.lit(deleted_share) * F.col("num_series")))
     cut = cut.groupBy("store_dir").agg(F.max(F.struct("min_t", "max_t", "ulid")).alias("_b")).select("store_dir", F.col("_b.ulid").alias("ulid"), F.lit(len(widths)).alias("_r"), F.lit("tombstones").alias("reason"))
-    best = found.unionByName(cut).withColumn("_best", F.min("_r").over(store))
-    return best.where("_r = _best").select("store_dir", "ulid", "reason").distinct()
+    found = found.unionByName(cut)
+    best = join_checked(found, found.groupBy("store_dir").agg(F.min("_r").alias("_r")), ["store_dir", "_r"], "left_semi")
+    return best.select("store_dir", "ulid", "reason").distinct()
 
 
 def merged_meta(blocks: DataFrame, keys: tuple[str, ...] = ("store_dir",)) -> DataFrame:
