@@ -9,7 +9,7 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
-from tidemark.plans import reference, training
+from tidemark.plans import reference, storage, training
 
 FOLDER = "/root/testdata/sf0.001"
 there = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables here")
@@ -39,14 +39,14 @@ EMPTY = {"select_no_match", "select_without_matchers", "select_invalid_pattern",
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables here")
 def test_queries_give_rows(spark):
     """No query is checked by comparing nothing with nothing."""
-    known = {**reference.queries(), **training.queries()}
+    known = {**reference.queries(), **storage.queries(), **training.queries()}
     assert {k for k, f in known.items() if f(spark, "/root/testdata/sf0.01").isEmpty()} == EMPTY
 
 
 @there
-@pytest.mark.parametrize("name", ["p1_trailing_totals", "p4_found", "p4_grid", "p7_found", "select_not_regex", "select_parity_from_zero", "labels_without", "tsbs_5_8_1", "double_groupby_all", "lastpoint", "tombstone_apply", "compaction_plan", "kv_snapshot", "codec_roundtrip"])
+@pytest.mark.parametrize("name", ["p1_trailing_totals", "p4_found", "p4_grid", "p7_found", "select_not_regex", "select_parity_from_zero", "labels_without", "tsbs_5_8_1", "double_groupby_all", "lastpoint", "tombstone_apply", "compaction_plan", "kv_snapshot", "codec_roundtrip", "layout_rewrite", "retention_by_time", "block_meta", "block_compacted", "log_read", "log_repair", "append_commit", "append_fast", "kv_batch", "stream_register", "select_regex_newline"])
 def test_equals_sql(spark, name):
-    module = training if name in training.queries() else reference
+    module = next(m for m in (training, storage, reference) if name in m.queries())
     con = duckdb.connect()
     for f in os.listdir(FOLDER):
         con.execute(f"CREATE VIEW {f.removesuffix('.parquet')} AS SELECT * FROM '{FOLDER}/{f}'")

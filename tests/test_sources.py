@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.matchers import Equal, everything
 from tidemark.operators.select import Store
-from tidemark.sources import layout, loaders
+from tidemark.sources import blocks, log, layout, loaders
 from tidemark.sources.ingest import Appender, assign_ids
 from tidemark.streaming import ingest
 
@@ -102,6 +102,27 @@ def test_stream_register(spark, tmp_path):
     assert app.series().count() == 2 and app.samples().count() == 3
 
 
+def test_stream_register_after_a_failure_halfway(spark, tmp_path, monkeypatch):
+    src, folder, check = (str(tmp_path / x) for x in ("src", "db", "c"))
+    spark.createDataFrame([({"h": "a"}, 1, 1.0), ({"h": "b"}, 1, 2.0)], INSERTS).coalesce(1).write.parquet(src)
+    commit, calls = Appender.commit, []
+
+    def failing(self):
+        commit(self)
+        calls.append(1)
+        if len(calls) == 1:
+            raise RuntimeError("after the samples are written")
+
+    monkeypatch.setattr(Appender, "commit", failing)
+    for _ in range(2):
+        try:
+            ingest.register(ingest.inserts(spark, src, INSERTS), folder, check).awaitTermination()
+        except Exception:  # noqa: BLE001
+            assert len(calls) == 1
+    app = Appender(spark, folder)
+    assert len(calls) == 2 and app.series().count() == 2 and sorted(r["value"] for r in app.samples().collect()) == [1.0, 2.0] and {r["seq"] for r in app.samples().collect()} == {1}
+
+
 @pytest.mark.parametrize("kind", ["tumbling", "sessions", "deduplicated"])
 def test_stream_windows(spark, tmp_path, kind):
     src = str(tmp_path / "src")
@@ -109,7 +130,7 @@ def test_stream_windows(spark, tmp_path, kind):
     spark.createDataFrame(data, SAMPLES).coalesce(1).write.parquet(src)
     stream = ingest.inserts(spark, src)
     if kind == "tumbling":
-        assert sorted(rows(ingest.to_table(ingest.tumbling(stream), str(tmp_path / "o")))) == [(1, 0, 3, 5.0), (1, 300_000, 1, 2.0), (2, -300_000, 1, 1.0)]
+        assert sorted(rows(ingest.to_table(ingest.tumbling(stream), ["series_id", "bucket_ms"]))) == [(1, 0, 3, 5.0), (1, 300_000, 1, 2.0), (2, -300_000, 1, 1.0)]
     elif kind == "sessions":
         assert ingest.sessions(stream).isStreaming
         batch = ingest.sessions(spark.read.parquet(src))
@@ -117,3 +138,52 @@ def test_stream_windows(spark, tmp_path, kind):
     else:
         ingest.ingest(ingest.deduplicated(stream), str(tmp_path / "o"), str(tmp_path / "c")).awaitTermination()
         assert ingest.ingested(spark, f"{tmp_path}/o").count() == 4
+
+
+LABELLED = "series_id long, labels map<string,string>"
+
+
+def test_blocks_are_written_whole(spark, tmp_path):
+    folder = str(tmp_path)
+    series = spark.createDataFrame([(1, {"a": "b"}), (2, {"a": "c"}), (3, {})], LABELLED)
+    old = spark.createDataFrame([(1, -5, 1.0), (1, 10, 2.0), (2, 86_400_000, float("nan"))], "series_id long, ts_ms long, value double").selectExpr("*", "7 as day_", "8 as _s")
+    new = spark.createDataFrame([(1, 10, 9.0), (3, 11, 1.0)], "series_id long, ts_ms long, value double")
+    holes = spark.createDataFrame([(2, 0, 2**62)], "series_id long, min_t long, max_t long")
+    a = blocks.write(old, series, folder, "a", tombstones=holes).first()
+    assert (a["min_t"], a["max_t"], a["num_samples"], a["num_series"], a["num_tombstones"], a["sources"]) == (-5, 86_400_001, 3, 2, 1, ["a"])
+    assert {r["series_id"] for r in blocks.read(spark, folder, "a", "series").collect()} == {1, 2}
+    blocks.write(new, series, folder, "b")
+    c = blocks.compact(spark, folder, ["a", "b"], "c").first()
+    assert (c["level"], c["num_series"], c["num_samples"], c["sources"], c["parents"]) == (2, 2, 3, ["a", "b"], ["a", "b"])
+    assert sorted(tuple(r)[:3] for r in blocks.read(spark, folder, "c").collect()) == [(1, -5, 1.0), (1, 10, 9.0), (3, 11, 1.0)]
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["c"]
+    empty = blocks.write(new.limit(0), series, folder, "e").first()
+    assert (empty["min_t"], empty["max_t"], empty["num_samples"], empty["num_series"]) == (None, None, 0, 0) and blocks.read(spark, folder, "e").count() == 0
+
+
+def test_log_survives_damage(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows_ = [(i, i % 3, None if i == 4 else float("nan") if i == 5 else float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows_, "pos long, series_id long, value double")
+    for k in range(3):
+        log.write_segment(log.records(df.where(f"pos div 10 = {k}"), "sample", "pos", ["series_id", "value"]), path, k)
+        log.write_segment(log.records(df.where(f"pos div 10 = {k}"), "sample", "pos", ["series_id", "value"]), path, k)  # written again
+    assert log.read(spark, path).count() == 30 and log.read(spark, path, 1, 1).count() == 10
+    got = log.decoded(log.read(spark, path, last=0), "sample", "series_id long, value double").collect()
+    assert len(got) == 10 and sum(r["value"] is None for r in got) == 1 and sum(r["value"] != r["value"] for r in got if r["value"] is not None) == 1
+    torn = spark.createDataFrame([(r["pos"], r["kind"], None if r["pos"] == 13 else r["body"], r["crc"]) for r in spark.read.schema(log.SCHEMA).parquet(path).where("segment = 1").collect()], "pos long, kind string, body string, crc long")
+    log.write_segment(torn, path, 1)
+    assert sorted(r["pos"] for r in log.read(spark, path).collect()) == [*range(13), *range(20, 30)]
+    log.repair(spark, path, f"{path}2")
+    assert sorted(r["pos"] for r in log.read(spark, f"{path}2").collect()) == [*range(13)]
+    assert log.truncate(spark, path, 2) == [0, 1] and {r["segment"] for r in log.read(spark, path).collect()} == {2}
+
+
+def test_retention_removes_days(spark, tmp_path):
+    day, path = 86_400_000, str(tmp_path / "s")
+    layout.write_samples(spark.createDataFrame([(s, d * day + s, float(d), 0) for d in (-2, 0, 1, 5) for s in range(40)], SAMPLES), path)
+    assert layout.drop_before(spark, path, 1) == [-2] and layout.drop_before(spark, path, day) == [0]
+    assert {r["day"] for r in layout.touched(spark, path, 0, 3 * day).collect()} == {1}
+    assert layout.drop_beyond(spark, path, 10**9) == [] and layout.drop_beyond(spark, path, 1) == [1] and layout.drop_beyond(spark, path, 1) == []
+    assert layout.read_samples(spark, path).count() == 40
+    assert [r[0] for r in layout.dump(spark.createDataFrame([(1, None, 2.0, 3)], SAMPLES)).collect()] == ["1 @ - # 3"]

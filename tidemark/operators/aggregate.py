@@ -63,3 +63,9 @@ def without_labels(samples: DataFrame, series: DataFrame, names: Sequence[str],
 def pivot_metrics(buckets: DataFrame, metrics: Sequence[str], keys: Sequence[str], value: str) -> DataFrame:
     """Buckets of several metrics side by side: one column a metric."""
     return buckets.groupBy(*keys).agg(*(F.max(F.when(F.col("metric") == m, F.col(value))).alias(m) for m in metrics))
+
+
+def coldest(samples: DataFrame, share: float = 0.1) -> DataFrame:
+    """(series_id, last_ms): the series that were written to least recently, `share` of all, rounded down; ties by id. Series without a time come first."""
+    last = samples.where("series_id is not null").groupBy("series_id").agg(F.max("ts_ms").alias("last_ms"))
+    return last.orderBy("last_ms", "series_id").limit(int(last.count() * share))

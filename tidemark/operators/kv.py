@@ -84,3 +84,9 @@ def approximate_size(entries: DataFrame, start: Column, end: Column) -> DataFram
     """Bytes of keys and values with start <= key < end, all versions."""
     rows = entries.where((F.col("key") >= start) & (F.col("key") < end))
     return rows.agg(F.coalesce(F.sum(F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0))), F.lit(0)).alias("bytes"))
+
+
+def repair(entries: DataFrame) -> DataFrame:
+    """What can be saved of damaged entries: those with a key, a sequence number and a known type, a put with its value; once each."""
+    good = entries.where("key is not null and seq is not null and type in (0, 1) and (type = 0 or value is not null)")
+    return good.select("key", "seq", "type", F.when(F.col("type") == PUT, F.col("value")).alias("value")).distinct()

@@ -105,6 +105,22 @@ class Prefix(Matcher):
         return value.startswith(self.prefix)
 
 
+@dataclass(frozen=True)
+class Range(Matcher):
+    """A value from `lo` on and before `hi`, in the order of bytes; either may be null for no bound."""
+
+    lo: str | None = None
+    hi: str | None = None
+
+    def test(self, value: Column) -> Column:
+        least = F.lit(True) if self.lo is None else value >= self.lo
+        return least if self.hi is None else least & (value < self.hi)
+
+    def accepts(self, value: str) -> bool:
+        raw = value.encode()
+        return (self.lo is None or raw >= self.lo.encode()) and (self.hi is None or raw < self.hi.encode())
+
+
 class Not(Matcher):
     """What another matcher refuses."""
 

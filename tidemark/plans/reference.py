@@ -17,7 +17,7 @@ from tidemark.operators.matchers import AnyOf, Equal, Not, Prefix, Regex, everyt
 from tidemark.operators.readings import latest
 from tidemark.operators.select import Store, align_by_labels, chain_stores, merge_stores
 from tidemark.plans.training import double_sql, exact_sql
-from tidemark.session import shared_folder, written
+from tidemark.session import written
 from tidemark.sources import datasets, loaders
 from tidemark.sources.tables import table
 from tidemark.streaming import ingest
@@ -625,7 +625,7 @@ def kv_approximate_size(spark: SparkSession, folder: str) -> DataFrame:
 def stream_tumbling(spark: SparkSession, folder: str) -> DataFrame:
     """Hourly maxima of the table read as a stream; the last state of the windows, kept in the shared folder."""
     rows = ingest.inserts(spark, f"{folder}/samples.parque[t]")
-    return ingest.to_table(ingest.tumbling(rows, "1 hour"), f"{shared_folder(spark)}/streams")
+    return ingest.to_table(ingest.tumbling(rows, "1 hour"), ["series_id", "bucket_ms"])
 
 
 @query(f"""SELECT series_id, o - ((o % {HOUR}) + {HOUR}) % {HOUR} - k * {HOUR} AS bucket_ms, count(*) AS n, max(value) AS max_value
@@ -633,7 +633,7 @@ FROM (SELECT series_id, ts_ms AS o, value FROM samples WHERE series_id IS NOT NU
 def stream_sliding(spark: SparkSession, folder: str) -> DataFrame:
     """Maxima over three hours, every hour."""
     rows = ingest.inserts(spark, f"{folder}/samples.parque[t]")
-    return ingest.to_table(ingest.tumbling(rows, "3 hours", slide="1 hour"), f"{shared_folder(spark)}/streams")
+    return ingest.to_table(ingest.tumbling(rows, "3 hours", slide="1 hour"), ["series_id", "bucket_ms"])
 
 
 def queries() -> dict[str, Query]:

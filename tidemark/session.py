@@ -31,11 +31,13 @@ _runs: dict[str, str] = {}
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: `spark.checkpoint.dir` of the session, else the context's checkpoint
-    folder. Only where neither is set (tests on one machine) a temporary one is made and registered."""
+    folder. Where neither is set, a temporary one is made and registered if everything runs on one machine; on a cluster that is an error."""
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and (set_dir := sc._jsc.sc().getCheckpointDir()).isDefined():
         base = set_dir.get()
+    if not base and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         sc.setCheckpointDir(base)
@@ -52,15 +54,26 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` written as Parquet into the shared folder and read back: lineage ends there, a lost executor costs
-    no recomputation, and later reads prune columns. The tables of a driver are removed when it ends."""
-    spark = df.sparkSession
+def run_folder(spark: SparkSession) -> str:
+    """A folder of this driver's own within the shared one; it is removed when the driver ends, or by `release`."""
     app = spark.sparkContext.applicationId
     if app not in _runs:
         _runs[app] = f"{shared_folder(spark)}/tidemark-{app}"
         atexit.register(_remove, spark, _runs[app])
-    path = f"{_runs[app]}/{name}-{uuid.uuid4().hex}"
+    return _runs[app]
+
+
+def release(spark: SparkSession) -> None:
+    """Removes all tables that this driver has written so far. To be called when no DataFrame that rests on them is needed any more, such as between queries."""
+    if spark.sparkContext.applicationId in _runs:
+        _remove(spark, run_folder(spark))
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """`df` written as Parquet into the shared folder and read back: lineage ends there, a lost executor costs
+    no recomputation, and later reads prune columns. See `release`."""
+    spark = df.sparkSession
+    path = f"{run_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -44,10 +44,12 @@ class Appender:
     """Collects inserts and commits them together to a folder with Parquet tables `series` and `samples`.
 
     Series become known when they are added, samples when `commit` writes them; `rollback` drops the samples and keeps the series.
+    With a number of a `batch` the samples are those of that batch alone, whatever an earlier attempt at it has written: a batch that is committed again counts once.
     """
 
     spark: SparkSession
     folder: str
+    batch: int | None = None
     pending: list[DataFrame] = field(default_factory=list)
 
     def _read(self, name: str, schema: str) -> DataFrame:
@@ -59,7 +61,10 @@ class Appender:
         return self._read("series", SERIES)
 
     def samples(self) -> DataFrame:
-        return self._read("samples", SAMPLES)
+        """All committed samples, but for those of this appender's own batch."""
+        rows = self._read("batches", f"{SAMPLES}, batch bigint")
+        others = rows if self.batch is None else rows.where(F.col("batch") != self.batch)
+        return self._read("samples", SAMPLES).unionByName(others.drop("batch"))
 
     def add(self, rows: DataFrame) -> DataFrame:
         """Registers the label sets of rows (labels, ts_ms, value) and buffers the samples; returns (series_id, labels) of the new series. The same set added again keeps its id."""
@@ -83,7 +88,10 @@ class Appender:
             rows = part if rows is None else rows.unionByName(part)
         good = rows.where("status = 'ok' and ts_ms is not null and value is not null").select("series_id", "ts_ms", "value", "seq")
         report = self.spark.createDataFrame([tuple(r) for r in rows.groupBy("status").count().collect()], "status string, n bigint")
-        good.write.mode("append").parquet(f"{self.folder}/samples.parquet")
+        if self.batch is None:
+            good.write.mode("append").parquet(f"{self.folder}/samples.parquet")
+        else:
+            good.write.mode("overwrite").parquet(f"{self.folder}/batches.parquet/batch={self.batch}")
         self.pending.clear()
         return report
 

@@ -46,6 +46,63 @@ def approximate_size(spark: SparkSession, path: str, mint: int, maxt: int) -> Da
     return partitions(spark, path).where((F.col("day") >= mint // DAY_MS) & (F.col("day") <= maxt // DAY_MS)).agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
 
 
+def touched(spark: SparkSession, path: str, mint: int, maxt: int) -> DataFrame:
+    """The stored days, with their properties, that hold samples of [mint, maxt]."""
+    return partitions(spark, path).where((F.col("min_t") <= maxt) & (F.col("max_t") >= mint))
+
+
+def _filesystem(spark: SparkSession, path: str):  # noqa: ANN202
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+
+
+def _days(spark: SparkSession, path: str) -> list[tuple[int, int, str]]:
+    """(day, bytes, folder) of the stored days, oldest first: one entry a day, from the file system alone."""
+    fs, p = _filesystem(spark, path)
+    found = [(f.getPath().getName(), f.getPath()) for f in fs.listStatus(p) if f.isDirectory()]
+    return sorted((int(n.removeprefix("day=")), int(fs.getContentSummary(q).getLength()), q.toString()) for n, q in found if n.startswith("day="))
+
+
+def drop_before(spark: SparkSession, path: str, time_ms: int) -> list[int]:
+    """Retention by time: removes the days that lie wholly before `time_ms`, without reading them; returns them."""
+    return _drop(spark, [(d, f) for d, _, f in _days(spark, path) if (d + 1) * DAY_MS <= time_ms])
+
+
+def drop_beyond(spark: SparkSession, path: str, most_bytes: int) -> list[int]:
+    """Retention by size: removes the oldest days until the others hold at most `most_bytes`; the newest day stays. Returns the removed days."""
+    days, gone = _days(spark, path), []
+    held = sum(b for _, b, _ in days)
+    for d, b, f in days[:-1]:
+        if held <= most_bytes:
+            break
+        held -= b
+        gone.append((d, f))
+    return _drop(spark, gone)
+
+
+def _drop(spark: SparkSession, days: list[tuple[int, str]]) -> list[int]:
+    for _, folder in days:
+        fs, p = _filesystem(spark, folder)
+        fs.delete(p, True)
+    return [d for d, _ in days]
+
+
+def swap(spark: SparkSession, new: str, path: str) -> None:
+    """Puts a rewritten folder in the place of the old one, by renaming: readers see the old data or the new, except for the moment between the two steps."""
+    fs, old = _filesystem(spark, path)
+    aside = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.old")
+    fs.rename(old, aside)
+    if not fs.rename(_filesystem(spark, new)[1], old):
+        fs.rename(aside, old)
+        raise OSError(f"{new} couldn't be put in the place of {path}")
+    fs.delete(aside, True)
+
+
+def dump(samples: DataFrame) -> DataFrame:
+    """(line): rows as lines of text, `id @ time # seq`, for reading by people; a null is "-"."""
+    return samples.select(F.concat_ws(" ", F.coalesce(F.col("series_id").cast("string"), F.lit("-")), F.lit("@"), F.coalesce(F.col("ts_ms").cast("string"), F.lit("-")), F.lit("#"), F.coalesce(F.col("seq").cast("string"), F.lit("-"))).alias("line"))
+
+
 def rewrite(spark: SparkSession, path: str, to: str, keep_after: int | None = None, tombstones: DataFrame | None = None) -> None:
     """Small files into few, one row a (series, time), without deleted ranges and without days before `keep_after`; written beside, to be swapped in by its reader."""
     rows = read_samples(spark, path, keep_after)

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.session import run_folder
 from tidemark.sources.ingest import Appender
 from tidemark.sources.layout import write_samples
 
@@ -40,37 +42,31 @@ def ingested(spark: SparkSession, path: str) -> DataFrame:
 def register(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
     """A stream of (labels, ts_ms, value) through an `Appender`: series get ids once, whatever batch they come in, and samples are committed batch by batch.
 
-    A batch number that was committed before is skipped, so a batch that is delivered again changes nothing.
+    A batch that is delivered again, even after a failure halfway, writes its samples in place of those of the attempt before: every row counts once.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        done = f"{folder}/committed"
-        fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{done}/{number}")
-        fs = fs_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        if fs.exists(fs_path):
-            return
-        app = Appender(spark, folder)
+        app = Appender(batch.sparkSession, folder, number)
         app.add(batch)
         app.commit()
-        fs.mkdirs(fs_path)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def deduplicated(stream: DataFrame, late: str = "2 days") -> DataFrame:
-    """The stream without rows that arrive again unchanged within the watermark. A row without a time is dropped.
+#: A watermark starts at 1970, and what is older would count as late from the start; so event times are moved ahead by whole days, some four thousand years.
+AHEAD_MS = 1_461_000 * 86_400_000
 
-    A watermark starts at 1970, and what is older would count as late from the start; so it runs on times moved ahead by four thousand years.
-    """
-    return stream.where("ts_ms is not null").withColumn("ts", F.timestamp_millis(F.col("ts_ms") + 1_461_000 * 86_400_000)).withWatermark("ts", late).dropDuplicatesWithinWatermark(["series_id", "ts_ms", "value", "seq"]).drop("ts")
+
+def deduplicated(stream: DataFrame, late: str = "2 days") -> DataFrame:
+    """The stream without rows that arrive again unchanged within the watermark. A row without a time is dropped."""
+    return stream.where("ts_ms is not null").withColumn("ts", F.timestamp_millis(F.col("ts_ms") + AHEAD_MS)).withWatermark("ts", late).dropDuplicatesWithinWatermark(["series_id", "ts_ms", "value", "seq"]).drop("ts")
 
 
 def tumbling(stream: DataFrame, width: str = "5 minutes", late: str = "2 days", slide: str | None = None) -> DataFrame:
-    """(series_id, bucket_ms, n, max_value) of tumbling windows, or with `slide` of windows that begin that often; rows later than the watermark are dropped (in append mode, times before 1970 are late from the start), NaN is greater than any number."""
-    rows = stream.where("ts_ms is not null and value is not null and series_id is not null").withColumn("ts", F.timestamp_millis("ts_ms"))
+    """(series_id, bucket_ms, n, max_value) of tumbling windows, or with `slide` of windows that begin that often; rows later than the watermark are dropped, and the state of windows before it, NaN is greater than any number."""
+    rows = stream.where("ts_ms is not null and value is not null and series_id is not null").withColumn("ts", F.timestamp_millis(F.col("ts_ms") + AHEAD_MS))
     out = rows.withWatermark("ts", late).groupBy("series_id", F.window("ts", width, slide)).agg(F.count("*").alias("n"), F.max("value").alias("max_value"))
-    return out.select("series_id", F.unix_millis("window.start").alias("bucket_ms"), "n", "max_value")
+    return out.select("series_id", (F.unix_millis("window.start") - AHEAD_MS).alias("bucket_ms"), "n", "max_value")
 
 
 def sessions(stream: DataFrame, gap: str = "1 hour", late: str = "2 days") -> DataFrame:
@@ -80,16 +76,22 @@ def sessions(stream: DataFrame, gap: str = "1 hour", late: str = "2 days") -> Da
     return out.select("series_id", F.unix_millis("session_window.start").alias("from_ms"), F.unix_millis("session_window.end").alias("to_ms"), "n")
 
 
-def to_table(stream: DataFrame, folder: str) -> DataFrame:
-    """Runs an aggregated stream over what its source holds, and returns the last state of the aggregates: a table in a new place below `folder`, which all executors share."""
+def to_table(stream: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Runs an aggregated stream over what its source holds, and returns the last state of each group (`keys`): a table in this driver's shared folder.
+
+    Only groups that a batch changed are written, each batch to its own place, which it writes anew if it is run again; state beyond the watermark is dropped.
+    """
     spark = stream.sparkSession
-    place = f"{folder}/{uuid.uuid4().hex}"
+    place = f"{run_folder(spark)}/stream-{uuid.uuid4().hex}"
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{place}/table")
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{place}/table/batch={number}")
 
-    stream.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{place}/table")
     if not jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jpath):
         return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{place}/table")
+    rest = [c for c in stream.columns if c not in keys]
+    rows = spark.read.schema(f"{', '.join(f'`{c}` {t}' for c, t in stream.dtypes)}, batch bigint").parquet(f"{place}/table")
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_last"))
+    return last.select(*keys, "_last.*").select(*stream.columns)
