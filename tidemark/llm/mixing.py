@@ -52,7 +52,7 @@ def budgets(sizes: DataFrame, targets: DataFrame, *, levels: Sequence[str] = ("d
     leaves = sizes.groupBy(*(_key(F.col(c)).alias(k) for k, c in zip(keys, levels, strict=True))).agg(F.sum(size).cast("long").alias("size"))
     leaves = join_checked(leaves, want, [keys[-1]]).where("size > 0")
     own = leaves.groupBy(keys[-1]).agg(F.sum("size").alias("_all"))
-    leaves = join_checked(leaves, own, [keys[-1]])
+    leaves = leaves.join(own, keys[-1])
     leaves = leaves.select(*keys, "size", "repeats", (F.col("_w") * F.col("size") / F.col("_all")).alias("w"), (F.col("size") * F.col("repeats")).cast("double").alias("c"))
     given = {i: F.create_map(*(F.lit(x) for v, w in weights[c].items() for x in (v, float(max(w, 0))))) for i, c in enumerate(levels) if c in (weights or {})}
     for i, m in given.items():
@@ -67,9 +67,9 @@ def budgets(sizes: DataFrame, targets: DataFrame, *, levels: Sequence[str] = ("d
         nodes = leaves.where("w > 0").groupBy(*node).agg(F.sum("w").alias("w"), F.sum("c").alias("c"), *more)
         if i in given:
             nodes = nodes.withColumn("w", F.col("_g")).drop("_g")
-        nodes = nodes.withColumn("amount", F.lit(min(float(held if total is None else total), can))) if amounts is None else join_checked(nodes, amounts, parent)
-        parent, amounts = node, written(_fill(nodes, parent, node).select(*node, F.col("budget").alias("amount")), "amounts")
-    out = join_checked(leaves.select(*keys, "size", "repeats"), amounts.withColumnRenamed("amount", "budget"), keys)
+        nodes = nodes.withColumn("amount", F.lit(min(float(held if total is None else total), can))) if amounts is None else nodes.join(amounts, parent)
+        parent, amounts = node, _fill(nodes, parent, node).select(*node, F.col("budget").alias("amount"))
+    out = leaves.select(*keys, "size", "repeats").join(amounts.withColumnRenamed("amount", "budget"), keys)
     return out.select(*(_value(k).alias(c) for k, c in zip(keys, levels, strict=True)), "size", "repeats", "budget")
 
 
@@ -91,11 +91,11 @@ def mix(df: DataFrame, targets: DataFrame, *, levels: Sequence[str] = ("domain",
     leaf = budgets(plain, targets, levels=levels, size="size", share=share, repeats=repeats, total=total, weights=weights)
     epochs = F.least(F.floor((F.col("budget") + 1e-6) / F.col("size")).cast("long"), F.col("repeats"))
     leaf = leaf.select(*(_key(F.col(c)).alias(k) for k, c in zip(keys, levels, strict=True)), epochs.alias("_epochs"), (F.col("budget") + 1e-6 - epochs * F.col("size")).alias("_left"))
-    known = join_checked(docs, leaf, keys)
+    known = join_checked(docs, written(leaf, "leaf"), keys)
     known = known.withColumn("_h", F.xxhash64(F.lit(seed), F.col("_epochs"), F.col("_i"))).withColumn("_b", F.pmod(F.shiftright("_h", 40), F.lit(RANGES)))
     sums = known.groupBy(*keys, "_b").agg(F.sum("_t").alias("_s"))
     sums = sums.withColumn("_before", F.coalesce(F.sum("_s").over(W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    placed = join_checked(known, sums, [*keys, "_b"])
+    placed = known.join(sums, [*keys, "_b"])
     whole = F.col("_before") + F.col("_s") <= F.col("_left")
     sure = placed.where(whole | (F.col("_before") >= F.col("_left"))).withColumn("_in", (whole & (F.col("_left") > 0)).cast("long"))
     edge = placed.where(~whole & (F.col("_before") < F.col("_left")))
