@@ -50,8 +50,8 @@ _LIKE = ("123456789\t\r\f\x0b\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2
 
 #: A message is widely recurring if its normal form stands so often, in more than one source.
 RECUR = 3
-#: Notices that are looked for within longer messages at a time; and the least length of one that is, or of what is left of one that was cut off.
-NOTICES, LEAST = 50_000, 15
+#: Notices that are looked for within longer messages at a time, and their bytes; and the least length of one that is, or of what is left of one that was cut off.
+NOTICES, NOTICE_BYTES, LEAST = 50_000, 16_000_000, 15
 
 _NAME = r"[^\W\d_]\w*(?:[ ._-]\w+){0,3}"
 # A name with masks; single brackets, guillemets and dollars also hold references, quotations and formulas ("[note 1]", "$x_1$"), so that marks must be glued there.
@@ -245,8 +245,9 @@ class _Finder:
 
 
 def _spoken(shapes: DataFrame, notices: DataFrame) -> DataFrame:
-    """(h, kind): messages that are or hold a known one. The notices go to the tasks NOTICES at a time, so that any number of them can be looked for."""
-    parts = -(-notices.count() // NOTICES)
+    """(h, kind): messages that are or hold a known one. The notices go to the tasks NOTICES or NOTICE_BYTES at a time, so that any number of them can be looked for."""
+    n, size = notices.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("shape")), F.lit(0))).first()
+    parts = max(-(-n // NOTICES), -(-size // NOTICE_BYTES))
     found = shapes.where("shape = '<open>'").select("h", F.lit("template").alias("kind"))
     notices = notices.withColumn("_p", F.pmod(F.xxhash64("shape"), F.lit(parts))) if parts > 1 else notices.withColumn("_p", F.lit(0))
     for part in range(parts):
