@@ -289,3 +289,12 @@ def test_deletion_with_very_many_ranges(spark, monkeypatch):
     for limit in (1000, 0):
         monkeypatch.setattr(tombstones, "OF_SERIES", limit)
         assert sorted(rows(tombstones.apply(s, t)), key=repr) == want
+
+
+def test_sides_are_broadcast_by_rows_and_bytes(spark):
+    from tidemark.operators.joins import is_small, join_checked
+
+    a = spark.createDataFrame([(i, "x" * 100) for i in range(50)], "k long, t string")
+    assert is_small(a, 50) and not is_small(a, 49) and not is_small(a, 50, 3000) and is_small(a.select("k"), 50, 0) and is_small(a.limit(0), 0, 0)
+    odd = spark.createDataFrame([(1, None, None, None, None)], "k long, t string, m map<string,string>, l array<long>, b binary")
+    assert is_small(odd) and join_checked(a, odd.drop("t"), ["k"]).count() == 1 and join_checked(a, odd.drop("t"), ["k"], limit=0).count() == 1

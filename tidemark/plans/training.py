@@ -21,7 +21,7 @@ OFF_MS = 259_200_000
 def sources(spark: SparkSession, folder: str) -> DataFrame:
     """(series_id, metric, unit, kind, lo, hi, scrape_ms, counter) of the registered series."""
     info = table(spark, folder, "metric_info")
-    return one_metric(table(spark, folder, "series")).join(F.broadcast(info), "metric").withColumn("counter", F.col("kind") == "counter")
+    return one_metric(table(spark, folder, "series")).join(info, "metric").withColumn("counter", F.col("kind") == "counter")
 
 
 def p1_trailing_totals(spark: SparkSession, folder: str) -> DataFrame:
