@@ -291,8 +291,8 @@ def test_notices_are_found_in_what_surrounds_them(spark):
 
 
 def test_general_rules_for_what_recurs(spark):
-    bad = ["Page non trovata.", "A página não foi encontrada.", "Rate limit exceeded.", "Connection timed out.", "Account suspended.", "This domain is for sale.", "Oops! This link is broken.", "La conexión ha caducado.", "Servizio non disponibile."]
-    good = ["My link is broken.", "The connection timed out because the pool was empty.", "Is the page not found?", "The page works again.", "If the session expired, log in."]
+    bad = ["Page non trovata.", "A página não foi encontrada.", "Rate limit exceeded.", "Connection timed out.", "Account suspended.", "This domain is for sale.", "Oops! This link is broken.", "La conexión ha caducado.", "Servizio non disponibile.", "Activate scripts in the browser to go on.", "Abilita JavaScript per continuare.", "Ein unerwarteter Fehler ist aufgetreten.", "This article cannot be displayed.", "Too many attempts, please wait."]
+    good = ["My link is broken.", "The connection timed out because the pool was empty.", "Is the page not found?", "The page works again.", "If the session expired, log in.", "Der Fehler tritt alle 5 Minuten auf.", "I had to enable scripts.", "Cookies must be set first, so move the call.", "My server says it cannot find the page."]
     df = spread(spark, bad + good)
     assert {r["doc_id"] // 10 for r in residue(df).collect()} == set(range(len(bad)))
     open_ = ["Hello %%first_name%%", "Dear <first name>,", "Sent to <your e-mail>"]

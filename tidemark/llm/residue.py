@@ -113,10 +113,34 @@ _STATES = re.compile(
     r"|nicht (?:gefunden|verfügbar|erreichbar|erlaubt|gestattet)|abgelaufen|gesperrt|verweigert|überlastet|deaktiviert|no (?:encontrad[ao]|disponible|existe|permitido)|no se (?:ha )?(?:encontr\w+|pudo)|caducad[ao]|expirad[ao]|bloquead[ao]|denegad[ao]|suspendid[ao]|introuvable|indisponible|expirée?|refusée?|bloquée?|suspendue?|interdite?|n'existe (?:pas|plus)"
     r"|non (?:è stata )?(?:trovat[ao]|disponibile)|scadut[ao]|negat[ao]|bloccat[ao]|sospes[ao]|não (?:foi )?(?:encontrad[ao]|disponível|existe)|negado|suspens[ao]|niet (?:gevonden|beschikbaar)|geweigerd|verlopen)\b"
 )
+#: The same of scripts and browsers, and what is asked for; of errors, and where they were; of what can't be shown, and what it is; and requests to sign in or come back.
+_PAIRS = (
+    (
+        re.compile(r"\b(?:java ?script|scripts?|js|cookies?|skripte|ad ?-?block\w*|content blockers?|browsers?|navegador|navigateur|navegador|captcha|robots?)\b"),
+        re.compile(
+            r"\b(?:enabled?|activated?|allow(?:ed)?|turn(?:ed)? (?:it |them )?(?:on|off)|switch(?:ed)? (?:on|off|to)|requires?|required|needs?|disabled?|reload|updated?|upgrade|outdated|supported|aktivier\w*|benötig\w*|erlaub\w*|zulassen|einschalten|unterstützt\w*|activ[aeo]\w*|habilit\w*|permit\w*|permet\w*|necesit\w*|requier\w*|autoris\w*|nécessit\w*|compatib\w*|attiva\w*|abilita\w*|richied\w*|ativ[ae]\w*|inschakel\w*|nodig)\b"
+        ),
+    ),
+    (
+        re.compile(r"\b(?:errors?|http|fehler|erreur|errore|erro|fatal|exception|went wrong|schief(?:gelaufen|gegangen)|salió mal)\b"),
+        re.compile(r"^\W*(?:error|http|fehler|erreur|errore?|erro|code|status)\W*<num\b|\b(?:servers?|pages?|sites?|templates?|databases?|upstream|gateway|requests?|internal|interne?r?|interno|unexpected|unerwartet\w*|inattendue?|inesperad[ao]|inattes[ao]|occurred|aufgetreten|ocurrid[ao]|survenue?|out of memory|our (?:side|end))\b"),
+    ),
+    (
+        re.compile(r"\b(?:pages?|threads?|answers?|questions?|discussions?|posts?|topics?|content|databases?|services?|articles?|comments?|what you (?:were|are) looking for|seiten?|beitr\w+|antwort\w*|frage|inhalt|respuestas?|preguntas?|contenido|réponses?|questions|contenu|article|risposta|contenuto|resposta|conteúdo)\b"),
+        re.compile(
+            r"\b(?:not available|down|maintenance|(?:cannot|can't|could not|can no longer) (?:be )?(?:shown|displayed|found|find|loaded|load|opened)|unable to (?:load|display|show|find|open)|cannot find|is gone|(?:was|were|has been|have been) (?:removed|deleted|locked|closed|archived)|wartung|nicht (?:angezeigt|geladen)|gelöscht|entfernt|no se puede mostrar|eliminad[ao]|mantenimiento|ne peut (?:pas|plus) être|supprimée?|maintenance|manutenzione|rimoss[ao]|manutenção|removid[ao])\b"
+        ),
+    ),
+    (
+        re.compile(r"\b(?:please|bitte|por favor|veuillez|prego|again|erneut|noch einmal|de nuevo|à nouveau|di nuovo|novamente|too many|zu viele|demasiad[ao]s|trop de|troppe|muit[ao]s)\b"),
+        re.compile(r"\b(?:(?:sign|log) ?in|try again|wait|come back|requests?|attempts?|anmelden|einloggen|versuchen|anfragen|inici\w* sesión|inténtel\w*|solicitudes|connecte\w*|réessay\w*|requêtes|accedi|riprov\w*|richieste|tente|entrar|pedidos|session|sitzung|sesión)\b"),
+    ),
+)
 #: Words of somebody's own, or of somebody who explains: what has them isn't a site speaking.
 _OWN = re.compile(
-    r"\b(?:i|i'm|i've|me|my|mine|he|she|they|them|until|because|since|when(?:ever)?|if|unless|although|though|but|so|then|sorry|thanks?|works?|worked|fix(?:ed)?|look|use|used|case|same|only|again|still|once|instead|answers?|ich|mein\w*|mir|wenn|weil|aber|dann|bis|yo|mi|me|porque|pero|cuando|si|hasta|je|mon|ma|mes|parce|mais|quand|donc|jusqu\w*|io|mio|perché|eu|meu)\b|\?|:\s*$"
+    r"\b(?:i|i'm|i've|me|my|mine|he|she|they|them|until(?! <)|because|since|when(?:ever)?|if|unless|although|though|but|so|then|sorry|thanks?|works?|worked|fix(?:ed)?|look|use|used|case|same|only|still|once|instead|ich|mein\w*|mir|wenn|weil|aber|dann|bis|yo|mi|me|porque|pero|cuando|si|hasta|je|mon|ma|mes|parce|mais|quand|donc|jusqu\w*|io|mio|perché|eu|meu)\b|\?|:\s*$"
 )
+_FIRST = re.compile(r"\b(?:i|i'm|i've|my|me|ich|mein\w*|mir|yo|je|mon|moi)\b")
 #: Longest message, in words, that these general rules are for.
 _SHORT = 14
 _SIGNS = re.compile(r"[{\[%$@_«]|\(\(\(|<(?!num>|addr>|date>|id>)")
@@ -186,18 +210,21 @@ def shape_of(message: str) -> str:
 _CLASSES = {"<open>": "template", "<failed>": "template", "<dummy>": "filler", "<mash>": "filler"}
 
 
+def _general(shape: str) -> bool:
+    """Whether a short message without words of somebody's own says of a thing of a site's or a script's how it is, or what is to be done."""
+    return len(_WORD.findall(shape)) <= _SHORT and any(a.search(shape) and b.search(shape) for a, b in ((_THINGS, _STATES), *_PAIRS)) and not _OWN.search(shape)
+
+
 def kind_of(shape: str) -> str | None:
     """The kind of a widely recurring message, given by its normal form: "template", "filler", "notice" (a site, server or script speaks), or None."""
     if shape in _CLASSES:
         return _CLASSES[shape]
     m = _PHRASES.search(shape)
-    if m and not _ABOUT.search(shape) and not shape.endswith("?"):
+    if m and not _ABOUT.search(shape) and not shape.endswith("?") and not _FIRST.search(shape):
         return "filler" if _FILLER_PHRASE.search(m.group(0)) else "notice"
     if _PERHAPS.fullmatch(shape):
         return "notice"
-    if len(_WORD.findall(shape)) <= _SHORT and _THINGS.search(shape) and _STATES.search(shape) and not _OWN.search(shape):
-        return "notice"
-    return None
+    return "notice" if _general(shape) else None
 
 
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
