@@ -13,6 +13,7 @@ from tidemark.operators.prefix import before
 from tidemark.operators.readings import floor_to
 from tidemark.operators.select import merge_stores
 from tidemark.operators.tombstones import apply, surviving
+from tidemark.session import written
 
 _KEY = ("min_t", "max_t", "ulid")
 
@@ -39,8 +40,8 @@ def overlap_groups(blocks: DataFrame) -> DataFrame:
     """
     rows = before(valid(blocks), "store_dir", "min_t", ["max_t", "ulid"], {"_seen": (F.max, F.col("max_t"))})
     new = F.when(F.col("_seen").isNull() | (F.col("min_t") >= F.col("_seen")), 1).otherwise(0)
-    rows = before(rows.withColumn("_new", new), "store_dir", "min_t", ["max_t", "ulid"], {"_i": (F.sum, F.col("_new"))})
-    rows = rows.withColumn("_i", F.coalesce("_i", F.lit(0)) + F.col("_new"))
+    rows = before(written(rows.withColumn("_new", new), "marked"), "store_dir", "min_t", ["max_t", "ulid"], {"_i": (F.sum, F.col("_new"))})
+    rows = written(rows.withColumn("_i", F.coalesce("_i", F.lit(0)) + F.col("_new")), "islands")
     groups = rows.groupBy("store_dir", "_i").agg(F.count("*").alias("_n"), F.min("min_t").alias("_a")).where("_n > 1")
     numbered = before(groups, "store_dir", "_a", ["_i"], {"island": (F.sum, F.lit(1))})
     numbered = numbered.select(F.col("store_dir").alias("_s2"), F.col("_i").alias("_i2"), F.coalesce("island", F.lit(0)).alias("island"))
@@ -67,12 +68,12 @@ def plan(blocks: DataFrame, ranges: list[int], deleted_share: float = 0.05) -> D
     one of `ranges`, the first block with more deletions than `deleted_share` of its series. A store without reason has no row; nor have blocks without a store.
     """
     widths = sorted(ranges)
-    rows = valid(blocks).where("store_dir is not null")
-    overlap = first_overlap(blocks).select("store_dir", "ulid", F.lit(0).alias("_r"), F.lit("overlap").alias("reason"))
+    rows = written(valid(blocks).where("store_dir is not null"), "valid")
+    overlap = first_overlap(rows).select("store_dir", "ulid", F.lit(0).alias("_r"), F.lit("overlap").alias("reason"))
     # The newest start of each store, and the newest of the rest: two numbers a store, from partial aggregates.
     top = rows.groupBy("store_dir").agg(F.max("min_t").alias("_newest"))
     old = join_checked(rows, top, ["store_dir"]).where("min_t < _newest")
-    old = join_checked(old, old.groupBy("store_dir").agg(F.max("min_t").alias("_high")), ["store_dir"])
+    old = written(join_checked(old, old.groupBy("store_dir").agg(F.max("min_t").alias("_high")), ["store_dir"]), "old")
     found = overlap
     for i, width in enumerate(widths[1:], 1):
         held = old.withColumn("_start", floor_to(F.col("min_t"), width)).where(F.col("max_t") <= F.col("_start") + width)
@@ -84,7 +85,7 @@ def plan(blocks: DataFrame, ranges: list[int], deleted_share: float = 0.05) -> D
     cut = before(old, "store_dir", "min_t", ["max_t", "ulid"], {"_s": (F.min, length)}, backward=True).withColumn("_s", F.least("_s", length))
     cut = cut.where((F.col("_s") >= widths[len(widths) // 2]) & (F.col("num_tombstones") > F.lit(deleted_share) * F.col("num_series")))
     cut = cut.groupBy("store_dir").agg(F.max(F.struct("min_t", "max_t", "ulid")).alias("_b")).select("store_dir", F.col("_b.ulid").alias("ulid"), F.lit(len(widths)).alias("_r"), F.lit("tombstones").alias("reason"))
-    found = found.unionByName(cut)
+    found = written(found.unionByName(cut), "found")
     best = join_checked(found, found.groupBy("store_dir").agg(F.min("_r").alias("_r")), ["store_dir", "_r"], "left_semi")
     return best.select("store_dir", "ulid", "reason").distinct()
 
