@@ -119,6 +119,26 @@ def test_merge_ranges(spark):
     assert rows(merge_ranges(df.limit(0))) == []
 
 
+def test_merge_ranges_over_chunks(spark):
+    # Touching at a chunk's start, 1 ms short of it, one long range over empty and occupied chunks, nested in an earlier chunk's range, three chunks that touch, and a lone last one.
+    data = [("a", 0, 100), ("a", 100, 130), ("b", 0, 99), ("b", 100, 130), ("c", 10, 950), ("c", 20, 30), ("c", 310, 320), ("c", 940, 960), ("c", 970, 980), ("d", 10, 90), ("d", 20, 310), ("d", 305, 306), ("d", 311, 312)]
+    data += [("e", 50, 150), ("e", 150, 250), ("e", 250, 350), ("e", 360, 370), ("e", 900, 901), ("f", -150, -100), ("f", -100, -50), ("f", -49, 0)]
+    got = rows(merge_ranges(spark.createDataFrame(data, "store_dir string, min_t long, max_t long"), chunk=100))
+    assert len(got) == len(set(got)) and set(got) == brute_periods(data)
+
+
+def test_merge_ranges_rests_on_sessions(spark, monkeypatch):
+    """With windows that join no ranges but those of the same start, overlapping ranges must come out apart: no later step may redo the sessions."""
+    import tidemark.operators.intervals as iv
+
+    for data in ([("a", 0, 10), ("a", 5, 8), ("a", 9, 12), ("a", 20, 30)], [("a", 50, 150), ("a", 150, 250), ("a", 330, 340)]):
+        df = spark.createDataFrame(data, "store_dir string, min_t long, max_t long")
+        assert set(rows(merge_ranges(df, chunk=100))) == brute_periods(data)
+        with monkeypatch.context() as m:
+            m.setattr(iv.F, "session_window", lambda time, gap: iv.F.struct(time.alias("start")).alias("session_window"))
+            assert set(rows(merge_ranges(df, chunk=100))) != brute_periods(data)
+
+
 SOURCES = "series_id long, lo double, hi double, scrape_ms long, counter boolean"
 
 
